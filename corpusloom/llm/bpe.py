@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .encode import CachedEncoder, spaced
 
@@ -167,5 +168,5 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names, "ids"])
 
     rest = docs.drop("ids")
-    schema = rest.schema.add("ids", "array<int>")
+    schema = T.StructType([*rest.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return rest.mapInArrow(run, schema)
