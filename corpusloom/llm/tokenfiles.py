@@ -32,6 +32,8 @@ from .encode import tokenizer_encoder
 
 #: Ends an index file; also tells that it is whole.
 INDEX_END = b"LOOMIDX1"
+#: Indexes of at most so many bytes are sent to every reader of the ids.
+BROADCAST_BYTES = 32 << 20
 _NONE = -(1 << 63)
 
 
@@ -96,7 +98,7 @@ def read(spark: SparkSession, out: str, dtype: str = "uint16") -> DataFrame:
 
     def files(what: str) -> DataFrame:
         found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(f"{out}/{what}")
-        return found.select(F.regexp_extract("path", r"part=(\d+)", 1).alias("part"), F.col("content").alias(what))
+        return found.select(F.regexp_extract("path", r"part=(\d+)", 1).alias("part"), F.col("content").alias(what), F.col("length").alias(f"{what}_bytes"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -107,7 +109,11 @@ def read(spark: SparkSession, out: str, dtype: str = "uint16") -> DataFrame:
                 crc = [zlib.crc32(ids[i:j].astype("<u4").tobytes()) for i, j in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=doc_ids == _NONE), pa.array(offsets[:-1].astype("int64")), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files("ids").join(files("index"), "part").select("ids", "index").mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    index = files("index")
+    size = index.agg(F.sum("index_bytes")).first()[0] or 0
+    if size <= BROADCAST_BYTES:  # 16 bytes a document; beyond it both sides are shuffled
+        index = F.broadcast(index)
+    return files("ids").join(index, "part").select("ids", "index").mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 class Mapped:
