@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -47,6 +48,12 @@ class Staged:
         drop_dir(self.spark, self.path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner free the shuffle files of finished stages now: it acts on what the driver's garbage collection finds."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def bounds(df: DataFrame, key: str, n: int) -> list[int]:
     """At most n - 1 ascending values that cut the long column into about equal parts."""
     if n <= 1:
