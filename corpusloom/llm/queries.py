@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, langid, neardup, packing, substrings, tokenfiles
+from . import bpe, chat, fingerprints, htmlcrf, langid, neardup, packing, substrings, tokenfiles
 from .common import shared_dir, table
 
 
@@ -26,6 +26,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlcrf.extract(table(spark, sf_dir, "pages"))
+
+
 #: A conversation whose texts are control strings, which every run formats too.
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
@@ -51,6 +55,6 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_token_files, op3_byte_bpe, op5_chat, op6_packing, op8_near_duplicates, op9_repeated_substrings, op10_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_token_files, op3_byte_bpe, op4_html, op5_chat, op6_packing, op8_near_duplicates, op9_repeated_substrings, op10_language)}
 
 ORACLES: dict[str, str] = {}
