@@ -7,10 +7,11 @@
 3. In each bucket every member is compared with the smallest one only, so that a bucket of n costs n pairs. Pairs that
    pass the sizes and the signature are confirmed on the full sets, the likeliest of each document first; pairs that
    confirmed links already connect need no confirmation.
-4. Buckets whose members are still in several components go on: small ones compare the members of different
-   components; large ones are cut by every other band as a second key, and then compare with one member a round
-   until none is left. So no bucket is capped and no link between different texts is lost but with the
-   probability that a pair at the threshold shares no band: (1 - 0.85**6)**40 = 6e-9.
+4. Buckets whose members are still in several components go on. Small ones compare the members of different
+   components pair by pair. In large ones the members outside the largest component are compared with all
+   others, in blocks of both, by one product of their set matrices a pair of blocks; only links come out. So no bucket
+   is capped and no link between different texts is lost but with the probability that a pair at the
+   threshold shares no band, (1 - 0.85**6)**40 = 6e-9, or fails the signature, about 1e-8.
 5. Components by large-star and small-star.
 
 Null and empty texts have empty sets and are linked with nothing. Rows of equal doc_id are one vertex; rows with
@@ -20,21 +21,21 @@ a null doc_id are kept, with a null component. Extra columns are ignored. An emp
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged
+from .common import Staged, release
 from .components import components
 
 ROWS, BANDS, WIDTH = 6, 40, 5
-#: A pair whose signatures agree in less than this share is not confirmed: ten standard deviations below the threshold.
-LIKELY = 0.6
-#: Unresolved buckets up to this size compare the members of different components at once.
-SMALL = 24
+#: A pair whose signatures agree in less than this share is not confirmed: over five standard deviations below the threshold.
+LIKELY = 0.72
+#: Unresolved buckets up to this size compare pair by pair, larger ones in blocks of about so many members.
+SMALL, BLOCK = 32, 256
 #: Bytes of text that a worker shingles at once.
 SLICE = 1 << 21
 
@@ -222,29 +223,64 @@ class _Links:
         ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         sets = Staged(_sets_of(self.docs, ids, self.width), "sets")
         best = likely.groupBy("b").agg(F.max_by("a", F.struct("likeness", -F.col("a"))).alias("a"))
-        self._take(_confirmed(best, sets.df, self.percent))
+        self.take(_confirmed(best, sets.df, self.percent))
         rest = Staged(self.apart(likely.join(best, ["a", "b"], "left_anti")), "pairs").df
         if not rest.isEmpty():
-            self._take(_confirmed(rest, sets.df, self.percent))
+            self.take(_confirmed(rest, sets.df, self.percent))
         sets.drop()
 
-    def _take(self, links: DataFrame) -> None:
+    def take(self, links: DataFrame) -> None:
         new = Staged(links, "links").df
         self.links = new if self.roots is None else self.roots.unionByName(new)
         self.roots = components(self.links)
 
 
 def _several(buckets: DataFrame, links: _Links) -> DataFrame:
-    """h, id, root, n of the buckets with members of more than one component."""
-    rows = links.labelled(buckets, "id", "root")
-    mixed = Staged(rows.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h", "n"), "mixed").df
+    """h, id, root, main (the root of most members), n, apart (members of other roots) of the buckets with several components."""
+    rows = Staged(links.labelled(buckets, "id", "root"), "labelled").df
+    counts = rows.groupBy("h", "root").agg(F.count("*").alias("k"))
+    mixed = counts.groupBy("h").agg(F.max(F.struct("k", "root")).alias("most"), F.sum("k").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+    mixed = Staged(mixed.select("h", "n", F.col("most.root").alias("main"), (F.col("n") - F.col("most.k")).alias("apart")), "mixed").df
     return Staged(rows.join(mixed, "h"), "mixed").df
 
 
-def _stars(buckets: DataFrame) -> DataFrame:
-    """a, b: every member of each bucket with its smallest."""
-    least = Staged(buckets.groupBy("h").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("h", "a"), "stars").df
-    return buckets.join(least, "h").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+def _block_links(percent: int) -> Callable[[pa.Table], pa.Table]:
+    def run(rows: pa.Table) -> pa.Table:
+        """One link of every two components that a member asked for (ask) and any other member join."""
+        ids, roots, ask = (rows[c].to_numpy() for c in ("id", "root", "ask"))
+        sets = [np.asarray(x.values) for x in rows["shingles"]]
+        sizes = np.array([len(x) for x in sets])
+        every = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(every, kind="stable")
+        new = np.concatenate(([True], np.diff(every[order]) != 0))
+        name = np.empty(len(every), "i8")
+        name[order] = np.cumsum(new) - 1
+        common = np.bincount(name) > 1  # a shingle of one member is in no intersection
+        place = np.cumsum(common) - 1
+        held = np.zeros((len(sets), max(1, int(common.sum()))), "f4")
+        use = common[name]
+        held[owner[use], place[name[use]]] = 1
+        a, b = np.flatnonzero(ask), np.flatnonzero(~ask)
+        shared = (held[a] @ held[b].T).astype("i8")
+        union = sizes[a][:, None] + sizes[b][None] - shared
+        x, y = np.nonzero((100 * shared >= percent * union) & (roots[a][:, None] != roots[b][None]))
+        pairs = np.stack([roots[a][x], roots[b][y]], 1)
+        _, first = np.unique(pairs, axis=0, return_index=True)
+        return pa.table({"u": ids[a][x[first]], "v": ids[b][y[first]]}, pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+    return run
+
+
+def _in_blocks(large: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """u, v: links between the members of large buckets (as of _several) that are outside the main component and all others."""
+    sets = Staged(_sets_of(docs, large.select("id").distinct(), width), "sets").df
+    rows = large.withColumn("rows", F.ceil(F.col("n") / BLOCK)).withColumn("asks", F.ceil(F.col("apart") / BLOCK))
+    code = F.xxhash64("id")
+    everyone = rows.select("h", "id", "root", F.lit(False).alias("ask"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("qb"), F.pmod(code, "rows").alias("mb"))
+    asking = rows.where("root <> main").select("h", "id", "root", F.lit(True).alias("ask"), F.pmod(code, "asks").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("mb"))
+    blocks = everyone.unionByName(asking).join(sets, "id")
+    return blocks.groupBy("h", "qb", "mb").applyInArrow(_block_links(percent), "u long, v long").distinct()
 
 
 def link_classes(docs: DataFrame, reps: DataFrame, percent: int = 85, width: int = WIDTH) -> DataFrame | None:
@@ -253,6 +289,7 @@ def link_classes(docs: DataFrame, reps: DataFrame, percent: int = 85, width: int
     buckets = reps.select(F.explode("bands").alias("h"), F.col("doc_id").alias("id"))
     shared = Staged(buckets.groupBy("h").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1"), "shared").df
     held = Staged(buckets.join(shared, "h").select("h", "id", "a", "n"), "buckets").df
+    release(docs.sparkSession)
     links.add(held.where("id <> a").select("a", F.col("id").alias("b")).distinct())
 
     rest = _several(held.where("n > 2").select("h", "id"), links)
@@ -260,17 +297,9 @@ def link_classes(docs: DataFrame, reps: DataFrame, percent: int = 85, width: int
     left, right = (small.select("h", F.col("id").alias(i), F.col("root").alias(r)) for i, r in (("a", "ra"), ("b", "rb")))
     links.add(left.join(right, "h").where("a < b AND ra <> rb").select("a", "b").distinct())
 
-    large = rest.where(F.col("n") > SMALL).select("h", "id")
+    large = rest.where(F.col("n") > SMALL)
     if not large.isEmpty():
-        twice = large.join(reps.select(F.col("doc_id").alias("id"), "bands"), "id")
-        twice = twice.select("id", "h", F.explode("bands").alias("g")).where("g <> h").select(F.xxhash64("h", "g").alias("h"), "id").distinct()
-        while True:
-            open_ = _several(twice, links).select("h", "id")
-            if open_.isEmpty():
-                break
-            links.add(_stars(open_))
-            # each round is done with its smallest member
-            twice = open_.withColumn("nth", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where("nth > 1").select("h", "id")
+        links.take(_in_blocks(_several(large.select("h", "id"), links), docs, percent, width))
     return links.roots
 
 

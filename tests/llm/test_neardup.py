@@ -44,7 +44,7 @@ def test_equals_all_pairs_on_hot_groups(spark):
     rows = []
     for g in range(6):  # groups of near copies around the threshold, one of them large
         base = [rng.choice(vocabulary) for _ in range(rng.randint(30, 300))]
-        for _ in range(90 if g == 0 else 12):
+        for _ in range(120 if g == 0 else 12):
             rows.append(" ".join(edits(base, rng.choice([0, 0.005, 0.012, 0.02, 0.04]), rng)))
     for _ in range(80):  # a passage in many texts that are not copies of each other
         own = [rng.choice(vocabulary) for _ in range(rng.randint(6, 30))]
