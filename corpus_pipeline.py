@@ -1,13 +1,59 @@
-"""A corpus pipeline of four stages over `documents`: language ID, near-dedup, substring dedup, packing."""
+"""A corpus pipeline over `documents` in four stages, each an operator whose decisions take effect on all that the one before kept.
+
+1. language: documents without a language that could be learnt (no text, no letter) go;
+2. near_duplicates: of documents linked by 85 % of their five-word shingles the one with the smallest doc_id stays;
+   rows of equal doc_id stay or go together, and rows with a null doc_id stay;
+3. repeated_substrings: bytes in 100-byte strings that also start earlier are taken out of the texts, n_chars
+   follows, and documents of which no letter is left go;
+4. packing: what is left is tokenised and packed into sequences of at most 1024 tokens; the result is one row per piece.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import langid, neardup, packing, substrings
+from corpusloom.llm.common import Staged
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.predict(docs, langid.train(docs)).where("lang_pred <> 'und'").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    left = substrings.remove(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    return left.where(F.col("text").rlike(r"\p{L}")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_substrings", repeated_substrings),
+    ("packing", pack),
+]
 
-STAGES: list = []
+#: The stages train a model, iterate, and tokenise, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents of a data folder; each stage is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = Staged(stage(spark, docs, sf_dir), f"pipeline-{name}").df
+    return STAGES[-1][1](spark, docs, sf_dir)

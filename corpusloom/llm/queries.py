@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, htmlcrf, langid, neardup, packing, substrings, tokenfiles
+from . import bpe, chat, fingerprints, htmlcrf, knn, langid, neardup, packing, substrings, tokenfiles
 from .common import shared_dir, table
 
 
@@ -43,6 +43,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings"), "id % 50 = 0", 5)
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,6 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_token_files, op3_byte_bpe, op4_html, op5_chat, op6_packing, op8_near_duplicates, op9_repeated_substrings, op10_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_token_files, op3_byte_bpe, op4_html, op5_chat, op6_packing, op7_nearest_vectors, op8_near_duplicates, op9_repeated_substrings, op10_language)}
 
 ORACLES: dict[str, str] = {}

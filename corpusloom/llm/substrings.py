@@ -175,32 +175,32 @@ def _per_doc(found: DataFrame, bits: int) -> DataFrame:
 
 
 def _placed(docs: DataFrame) -> tuple[DataFrame, int]:
-    """doc_id, text, base (the place of its first byte in one order of all bytes) and the bits of the place within a document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lo, hi, longest = rows.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text"))).first()
+    """docs with _base (the place of a text's first byte in one order of all bytes) and the bits of the place within a document."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    lo, hi, longest = docs.agg(F.min(doc_id), F.max(doc_id), F.max(F.octet_length(text))).first()
     bits = max(1, int(longest or 0).bit_length())
     if lo is None or (hi - lo).bit_length() + bits < 63:
-        return rows.withColumn("base", F.shiftleft(F.col("doc_id") - F.lit(lo or 0), bits)), bits
+        return docs.withColumn("_base", F.shiftleft(doc_id - F.lit(lo or 0), bits)), bits
     # ids too far apart: number them by their order
-    ids = Staged(rows.select("doc_id").where("doc_id IS NOT NULL").distinct().sort("doc_id").withColumn("m", F.monotonically_increasing_id()), "ids").df
-    ids = ids.withColumn("task", F.shiftright("m", 33))
+    ids = docs.select(doc_id.alias("_id")).where("_id IS NOT NULL").distinct().sort("_id")
+    ids = Staged(ids.withColumn("m", F.monotonically_increasing_id()), "ids").df.withColumn("task", F.shiftright("m", 33))
     counts = sorted((r["task"], r["k"]) for r in ids.groupBy("task").agg(F.count("*").alias("k")).collect())
     at, bases = 0, []
     for task, k in counts:
         bases.append((task, at))
         at += k
-    held = docs.sparkSession.createDataFrame(bases, "task long, at long")
-    numbered = ids.join(held, "task").select("doc_id", F.shiftleft(F.col("at") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1)), bits).alias("base"))
-    return rows.join(numbered, "doc_id", "left"), bits
+    starts = docs.sparkSession.createDataFrame(bases, "task long, at long")
+    numbered = ids.join(starts, "task").select("_id", F.shiftleft(F.col("at") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1)), bits).alias("_base"))
+    return docs.join(numbered, doc_id == F.col("_id"), "left").drop("_id"), bits
 
 
-def _apply(docs: DataFrame, repeats: DataFrame, bits: int, finish: Callable[[bytes, np.ndarray], tuple], schema: str) -> DataFrame:
-    """finish(text, kept bytes as a mask) of every document; schema: its columns after those of docs but text, base and own."""
+def _apply(placed: DataFrame, repeats: DataFrame, bits: int, finish: Callable[[bytes, np.ndarray], tuple], schema: str) -> DataFrame:
+    """finish(text, kept bytes as a mask) of every document; schema: its columns, after those of placed but text and _base."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, own in zip(b.column("text").to_pylist(), b.column("own").to_pylist(), strict=True):
+            for text, own in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 cover = np.zeros(len(raw) + 1, "i4")
                 if own:
@@ -208,19 +208,19 @@ def _apply(docs: DataFrame, repeats: DataFrame, bits: int, finish: Callable[[byt
                     np.add.at(cover, first, 1)
                     np.add.at(cover, first + np.array([r["n"] for r in own]) - 1 + LENGTH, -1)
                 out.append(finish(raw, np.cumsum(cover[:-1]) == 0))
-            keep = [c for c in b.schema.names if c not in ("text", "own")]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[pa.array(list(c)) for c in zip(*out, strict=True)]], [*keep, *names]) if out else pa.RecordBatch.from_pylist([])
+            if out:
+                yield pa.RecordBatch.from_arrays([*b.columns[:-2], *[pa.array(list(c)) for c in zip(*out, strict=True)]], [*b.schema.names[:-2], *names])
 
     names = [x.split()[0] for x in schema.split(", ")]
-    joined = docs.join(_per_doc(repeats, bits), "base", "left").drop("base")
-    kept = [f for f in joined.schema.fields if f.name not in ("text", "own")]
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [schema])
-    return joined.mapInArrow(run, ddl)
+    kept = [f for f in placed.schema.fields if f.name not in ("text", "_base")]
+    own = _per_doc(repeats, bits).select(F.col("base").alias("_base"), F.col("own").alias("_own"))
+    joined = placed.join(own, "_base", "left").select(*[f"`{f.name}`" for f in kept], F.col("text").cast("string"), "_own")
+    return joined.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [schema]))
 
 
 def find_repeats(placed: DataFrame, bits: int) -> DataFrame:
     """pos, n: n neighbouring windows from place pos on that all start earlier too."""
-    known = placed.where("base IS NOT NULL").select("base", "text")
+    known = placed.where("_base IS NOT NULL").select(F.col("_base").alias("base"), F.col("text").cast("string").alias("text"))
     found: DataFrame | None = None
     unclear: Staged | None = None
     for k, group in enumerate(ROUNDS):
@@ -242,7 +242,7 @@ def digests(docs: DataFrame) -> DataFrame:
         gone = np.concatenate(([False], ~kept))
         return len(raw), len(raw) - len(rest), int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(rest).hexdigest()
 
-    placed, bits = _placed(docs)
+    placed, bits = _placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return _apply(placed, find_repeats(placed, bits), bits, finish, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
@@ -253,7 +253,4 @@ def remove(docs: DataFrame) -> DataFrame:
         return (np.frombuffer(raw, "u1")[kept].tobytes().decode("utf-8", "ignore"),)
 
     placed, bits = _placed(docs)
-    repeats = find_repeats(placed, bits)
-    bases = placed.select("doc_id", "base").distinct()
-    rows = docs.join(bases, "doc_id", "left")
-    return _apply(rows, repeats, bits, finish, "kept string").withColumnRenamed("kept", "text").select(*docs.columns)
+    return _apply(placed, find_repeats(placed, bits), bits, finish, "text string").select(*docs.columns)
