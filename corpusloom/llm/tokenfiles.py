@@ -53,7 +53,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, dtype: str) -> DataFr
     return out.withColumn("tie", F.xxhash64("ids"))
 
 
-def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, dtype: str = "uint16", ids_per_file: int = 1 << 22) -> None:
+def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, dtype: str = "uint16", ids_per_file: int = 1 << 21) -> None:
     """Write the files of `docs` below `out`. dtype must hold every id; ids_per_file is the mean size of a file."""
     kind = np.dtype(dtype).newbyteorder("<")
     end = np.array([end_id], kind).tobytes().decode("latin-1")
