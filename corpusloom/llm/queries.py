@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, htmlcrf, knn, langid, neardup, packing, substrings, tokenfiles
+from . import bpe, chat, fingerprints, htmlcrf, knn, langid, neardup, oracles, packing, substrings, tokenfiles
 from .common import shared_dir, table
 
 
@@ -61,4 +61,4 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_token_files, op3_byte_bpe, op4_html, op5_chat, op6_packing, op7_nearest_vectors, op8_near_duplicates, op9_repeated_substrings, op10_language)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
