@@ -77,3 +77,16 @@ def test_near_copies_equal_all_pairs(spark):
     firsts = {i for i, t, p in rows if all(not (t == u and p == q and j < i) for j, u, q in rows)}
     want = {(a, b) for a in firsts for b in firsts if a < b and a % 2 == b % 2 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert got == want and want
+
+
+def test_asserts():
+    from corpusloom.operators.records import call_problem, parse_asserts
+
+    text = "```py\nassert f(1) == 2\nassert f(1) == None\nassert f(1) != []\nassert len(f(1)) == 2\nassert f(1) is 3\nassert f(2) != True\nassert _raises(ValueError, f, 1)\nassert f(1) == 2\nassert 5 == f(3).x\n```\nassert f(9) == 9"
+    assert parse_asserts(text, "f") == ["assert f(1) == 2", "assert _raises(ValueError, f, 1)", "assert 5 == f(3).x"]
+    assert parse_asserts("assert f(9) == 9", "f") == ["assert f(9) == 9"]
+    good = {"difficulty": "introductory", "input_output": '{"fn_name": "add", "inputs": [[1, 2], [0, 0], [5, 5]], "outputs": [[3], [0], [10]]}'}
+    assert call_problem(good) == (["assert add(1, 2) == 3", "assert add(0, 0) == 0", "assert add(5, 5) == 10"], None)
+    assert call_problem({**good, "difficulty": "hard"}) == (None, "difficulty")
+    assert call_problem({**good, "input_output": "{"}) == (None, "io_unreadable")
+    assert call_problem({**good, "input_output": good["input_output"].replace("[3]", "[3.0]")}) == (None, "float_output")
