@@ -6,9 +6,12 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from corpusloom.llm import bpe, packing, tokenfiles
+from corpusloom.llm.encode import tokenizer_encoder
 
 
 def library(name):
@@ -17,6 +20,9 @@ def library(name):
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
+LIBRARY = {name: library(name) for name in ("word_bpe_49k.json", "byte_bpe_50k.json")}
+
+
 @pytest.mark.parametrize("per_file", [1 << 22, 40])
 def test_token_files(spark, docs, tmp_path, per_file):
     out = f"file://{tmp_path}/out"
@@ -72,3 +78,35 @@ def test_packing(docs, no_docs):
         assert sum(r.length for r in rows) == total
         assert len(seqs) <= 1.25 * total / capacity + 1
     assert packing.pack(no_docs, P.path("byte_bpe_50k.json")).collect() == []
+
+
+ALPHABET = list("aBs 1_\n\t,.'!é日Σ") + [" ", "\x1c", "́", "\x01", " ", " ", " ", "\r"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(ALPHABET, max_size=40), min_size=1, max_size=3))
+def test_chunks_do_not_change_ids(texts):
+    for name, kind in (("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaced")):
+        got = [np.frombuffer(x, "<u4").tolist() for x in tokenizer_encoder(P.path(name), kind).ids(texts)]
+        assert got == [LIBRARY[name](t) for t in texts]
+    encoder, _ = bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.ids(texts)] == [LIBRARY["byte_bpe_50k.json"](t) for t in texts]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=300))
+def test_plan_places_every_item_once(items):
+    sizes = {s: items.count(s) for s in set(items)}
+    slots, total = packing.plan(sizes, 64)
+    placed = {}
+    for s in slots:
+        for k in range(s.count):
+            placed.setdefault(s.first + k, []).append((s.offset, s.size))
+    assert sorted(n for own in placed.values() for _, n in own) == sorted(items) and len(placed) == total
+    for own in placed.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= 64
+    assert total <= 1.3 * sum(items) / 64 + 1 or total <= sum(n > 32 for n in items) + sum(21 < n <= 32 for n in items) / 2 + 2
