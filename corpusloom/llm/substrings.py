@@ -76,7 +76,7 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
 
 
-def _rows(docs: list[tuple[int, bytes, np.ndarray | None]], group: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _rows(docs: list[tuple[int, bytes, np.ndarray | None]], group: int, only_core: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
     """core, class, pos, n of the rows of windows. docs: place of the first byte, text, and (first, n) of its windows or None for all."""
     held: list[tuple[int, bytes, int, np.ndarray | None]] = []
     size = 0
@@ -86,15 +86,15 @@ def _rows(docs: list[tuple[int, bytes, np.ndarray | None]], group: int) -> Itera
             if len(part) < LENGTH:
                 continue
             if size + len(part) > _SLICE + LENGTH:
-                yield _slice_rows(held, group)
+                yield _slice_rows(held, group, only_core)
                 held, size = [], 0
             held.append((base + at, part, at, own))
             size += len(part)
     if held:
-        yield _slice_rows(held, group)
+        yield _slice_rows(held, group, only_core)
 
 
-def _slice_rows(held: list, group: int) -> tuple[np.ndarray, ...]:
+def _slice_rows(held: list, group: int, only_core: bool) -> tuple[np.ndarray, ...]:
     seed = LENGTH + 1 - ROUNDS[0]
     data = np.frombuffer(b"".join(h[1] for h in held), "u1")
     sizes = np.array([len(h[1]) for h in held])
@@ -111,15 +111,17 @@ def _slice_rows(held: list, group: int) -> tuple[np.ndarray, ...]:
             np.add.at(active, s + hi, -1)
     p = np.flatnonzero(np.cumsum(active[:-1]) > 0)
     if not len(p):
-        return tuple(np.empty(0, "i8") for _ in range(4))
-    names = _Names(data, {seed, LENGTH + 1 - group, LENGTH}).of
+        return tuple(np.empty(0, "i8") for _ in range(1 if only_core else 4))
+    names = _Names(data, {seed, LENGTH + 1 - group} if only_core else {seed, LENGTH + 1 - group, LENGTH}).of
     order = names[seed] & ~_LOW | np.arange(len(names[seed]), dtype="u8")
     anchor = (_least(order, ROUNDS[0])[p] & _LOW).astype("i8")
     step = (anchor - p) // group
     new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (step[1:] != step[:-1]) | (p[1:] != p[:-1] + 1)))
     first = np.flatnonzero(new)
-    n = np.diff(np.concatenate((first, [len(p)])))
     core = names[LENGTH + 1 - group][anchor[first] - group * step[first]]
+    if only_core:
+        return (core.view("i8"),)
+    n = np.diff(np.concatenate((first, [len(p)])))
     if group > 1:
         same = np.add.reduceat(names[LENGTH][p] * _ODD[np.arange(len(p)) - np.repeat(first, n)], first)
     else:
@@ -129,11 +131,9 @@ def _slice_rows(held: list, group: int) -> tuple[np.ndarray, ...]:
     return core.view("i8"), same.view("i8"), pos, n
 
 
-_ROW = "core long, same long, pos long, n long"
-
-
-def _windows(docs: DataFrame, group: int) -> DataFrame:
-    """Rows of windows of docs (base, text and, unless all windows are meant, own: array of (first, n))."""
+def _windows(docs: DataFrame, group: int, only_core: bool = False) -> DataFrame:
+    """Rows of windows of docs (base, text and, unless all windows are meant, own: array of (first, n)), or only their shared strings."""
+    columns = ["core"] if only_core else ["core", "same", "pos", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,27 +143,39 @@ def _windows(docs: DataFrame, group: int) -> DataFrame:
                 if b.num_columns == 3:
                     own = [np.array([[r["first"], r["n"]] for r in x], "i8").T for x in part.column(2).to_pylist()]
                 texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
-                for cols in _rows(list(zip(part.column(0).to_pylist(), texts, own, strict=True)), group):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["core", "same", "pos", "n"])
+                for cols in _rows(list(zip(part.column(0).to_pylist(), texts, own, strict=True)), group, only_core):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], columns)
 
-    return docs.mapInArrow(run, _ROW)
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in columns))
 
 
-def _round(rows: DataFrame, last: bool) -> tuple[Staged, Staged | None]:
-    """pos, n of the repeated rows, and of the first rows that the next round must look into."""
-    if last:
+def _round(docs: DataFrame, k: int) -> tuple[Staged, Staged | None]:
+    """pos, n of the repeated rows of round k, and of the first rows that the next round must look into."""
+    group, spark = ROUNDS[k], docs.sparkSession
+    if k:  # few rows: written, so that they are made once
+        made = Staged(_windows(docs, group), "windows")
+        cores, rows = made.df, made.df
+    else:  # all rows: made again, so that they take no disk
+        cores, rows = _windows(docs, group, only_core=True), _windows(docs, group)
+    if k == len(ROUNDS) - 1:
         first = rows.groupBy("core", "same").agg(F.min("pos").alias("head"), F.count("*").alias("k")).where("k > 1").select("core", "same", "head")
-        return Staged(rows.join(first, ["core", "same"]).where("pos > head").select("pos", "n"), "repeats"), None
-    twice = rows.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
+        repeats = Staged(rows.join(Staged(first, "first").df, ["core", "same"]).where("pos > head").select("pos", "n"), "repeats")
+        made.drop()
+        return repeats, None
+    twice = cores.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
+    twice = Staged(twice, "twice").df  # written, so that the join's sides are plain shuffles, which Spark can split
+    release(spark)
     held = Staged(rows.join(twice, "core"), "rows")
-    release(held.spark)
+    if k:
+        made.drop()
+    release(spark)
     classes = Staged(held.df.groupBy("core", "same", "n").agg(F.min("pos").alias("head")), "classes")
-    several = classes.df.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
+    several = Staged(classes.df.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core"), "several").df
     repeats = Staged(held.df.join(classes.df, ["core", "same", "n"]).where("pos > head").select("pos", "n"), "repeats")
     unclear = Staged(classes.df.join(several, "core").select(F.col("head").alias("pos"), "n"), "unclear")
     held.drop()
     classes.drop()
-    release(held.spark)
+    release(spark)
     return repeats, unclear
 
 
@@ -223,9 +235,9 @@ def find_repeats(placed: DataFrame, bits: int) -> DataFrame:
     known = placed.where("_base IS NOT NULL").select(F.col("_base").alias("base"), F.col("text").cast("string").alias("text"))
     found: DataFrame | None = None
     unclear: Staged | None = None
-    for k, group in enumerate(ROUNDS):
+    for k in range(len(ROUNDS)):
         docs = known if unclear is None else known.join(_per_doc(unclear.df, bits), "base")
-        repeats, following = _round(_windows(docs, group), k == len(ROUNDS) - 1)
+        repeats, following = _round(docs, k)
         found = repeats.df if found is None else found.unionByName(repeats.df)
         if unclear is not None:
             unclear.drop()
