@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged
+from .common import Staged, shuffle_parts
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -32,13 +32,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: columns u, v of long vertices in any order; loops and repeated edges do no harm.
     """
-    state = Staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    # edges are few beside the rows they come from, and each round writes them: an eighth of the usual files is enough
+    files = max(1, shuffle_parts(edges.sparkSession) // 8)
+    state = Staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().coalesce(files), "edges")
     mark = None
     while True:
         now = state.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark or now[0] == 0:
             return state.df
         mark = tuple(now)
-        after = Staged(small_star(large_star(state.df)), "edges")
+        after = Staged(small_star(large_star(state.df)).coalesce(files), "edges")
         state.drop()
         state = after
