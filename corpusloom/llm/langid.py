@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TRAIN_DOCS, TRAIN_CHARS = 200, 30_000
+TRAIN_DOCS, TRAIN_CHARS = 200, 60_000
 BLOCK, LANES = 512, 4096
 _FLAG = np.uint32(1 << 31)
 #: Codes of the alphabet: padding, letters never seen in training, the space; seen letters follow.
