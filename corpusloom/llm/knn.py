@@ -2,8 +2,9 @@
 
 1. Components become floor(256 * x). Vectors that are null, hold null or non-finite components, or have no id take no
    part; vectors of different lengths are not compared.
-2. Data and queries are grouped by the nearest of a bounded number of pivots, which are vectors with the
-   smallest hashes of their ids. Per data group a summary holds the pivot's radius and the largest norm.
+2. Data are grouped by the nearest of a bounded number of pivots, which are vectors with the smallest hashes of their
+   ids, and queries by the nearest of so few of these that a group has some hundreds of queries: each group costs a
+   copy of the vectors it needs. Per data group a summary holds the pivot's radius and the largest norm.
 3. For each group of queries with centre c and radius r, and each vector x, c.x - r|x| <= q.x <= c.x + r|x| for all its queries
    q. The (k+1)-th largest lower bound over all vectors is the group's threshold: each task keeps its k+1 largest,
    so that little is merged. A data group whose summary cannot reach the threshold is skipped for the group of queries as a
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import Staged
 
-#: Pivots at most, queries in a block, and vectors in a slice.
-PIVOTS, QUERY_BLOCK, SLICE = 256, 1024, 65_536
+#: Pivots at most, mean queries in a group, queries in a block, and vectors in a slice.
+PIVOTS, QUERY_GROUP, QUERY_BLOCK, SLICE = 256, 256, 1024, 65_536
 _LIMIT = 2.0**53
 
 
@@ -169,14 +170,16 @@ def top_k(rows: DataFrame, is_query: str, k: int = 5, pivots: int = PIVOTS) -> D
 
 def _top_k(vectors: DataFrame, is_query: str, k: int, pivots: np.ndarray, dim: int) -> DataFrame:
     data = Staged(_with_group(vectors, pivots), "grouped").df
-    queries = data.where(is_query).groupBy("id").agg(F.min(F.struct("v", "g", "far")).alias("q")).select("id", "q.*")
-    queries = Staged(queries, "queries").df
+    asked_for = Staged(vectors.where(is_query).groupBy("id").agg(F.min("v").alias("v")).select("id", F.lit(dim).alias("dim"), "v"), "asked").df
+    parts = min(len(pivots), math.ceil(asked_for.count() / QUERY_GROUP))
+    few = pivots[np.unique(np.linspace(0, len(pivots) - 1, max(1, parts)).astype(int))]
+    queries = Staged(_with_group(asked_for, few), "queries").df
     summary = {r["g"]: (r["far"], r["norm"]) for r in data.groupBy("g").agg(F.max("far").alias("far"), F.max("norm").alias("norm")).collect()}
     groups = sorted((r["g"], r["n"], r["far"]) for r in queries.groupBy("g").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect())
     if not groups:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     numbers = {g: i for i, (g, _, _) in enumerate(groups)}
-    centres, radii = pivots[[g for g, _, _ in groups]], np.array([far for _, _, far in groups])
+    centres, radii = few[[g for g, _, _ in groups]], np.array([far for _, _, far in groups])
     low = _thresholds(data, centres, radii, k)
     needed = Staged(_needed(data, summary, pivots, centres, radii, low), "needed").df
     counts = {r["qg"]: r["n"] for r in needed.groupBy("qg").agg(F.count("*").alias("n")).collect()}

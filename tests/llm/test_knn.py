@@ -23,6 +23,7 @@ def check(spark, rows, every, **kw):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_equals_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(knn, "QUERY_GROUP", 9)
     monkeypatch.setattr(knn, "QUERY_BLOCK", 7)
     monkeypatch.setattr(knn, "SLICE", 50)
     rng = np.random.default_rng(seed)
