@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -48,6 +49,15 @@ class Staged:
         drop_dir(self.spark, self.path)
 
 
+def forget_others() -> None:
+    """On an executor: drop what a worker that ran another operator before still holds for it."""
+    encode, bpe = (sys.modules.get(f"{__package__}.{m}") for m in ("encode", "bpe"))
+    if encode is not None and encode._ENCODERS or bpe is not None and bpe._CODECS:
+        for held in (encode._ENCODERS if encode else {}, bpe._CODECS if bpe else {}):
+            held.clear()
+        gc.collect()
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner free the shuffle files of finished stages now: it acts on what the driver's garbage collection finds."""
     gc.collect()

@@ -23,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TRAIN_DOCS, TRAIN_CHARS = 200, 60_000
+from .common import forget_others
+
+TRAIN_DOCS, TRAIN_CHARS = 200, 30_000
 BLOCK, LANES = 512, 4096
 _FLAG = np.uint32(1 << 31)
 #: Codes of the alphabet: padding, letters never seen in training, the space; seen letters follow.
@@ -219,6 +221,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     langs = np.array([*model.langs, "und"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for b in batches:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             found = costs(model, texts)

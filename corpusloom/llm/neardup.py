@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, release
+from .common import Staged, forget_others, release
 from .components import components
 
 ROWS, BANDS, WIDTH = 6, 40, 5
@@ -141,6 +141,7 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, k1 and k2 (which name the set), bands, sig; the last two empty for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for b in batches:
             n, k1, k2, bands, sig = [], [], [], [], []
             for s in shingle_sets(b.column(1).to_pylist(), width):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, release
+from .common import Staged, forget_others, release
 
 LENGTH = 100
 #: Windows in a row, by round.
@@ -136,6 +136,7 @@ def _windows(docs: DataFrame, group: int, only_core: bool = False) -> DataFrame:
     columns = ["core"] if only_core else ["core", "same", "pos", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
