@@ -13,7 +13,7 @@ from itertools import chain
 import numpy as np
 
 #: Chunks kept per worker in each of two generations, and characters split at once: both bound a worker's memory.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 400_000
 SLICE_CHARS = 1_500_000
 
 #: White space on which Python and the tokenizers' regular expressions differ.

@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Staged, bounds, bucket
+from .common import Staged, bounds, bucket, release
 from .encode import tokenizer_encoder
 
 #: Ends an index file; also tells that it is whole.
 INDEX_END = b"LOOMIDX1"
+#: Parts are shuffled and written in so many goes, each of which frees its shuffle files before the next.
+WAVES = 3
 #: Indexes of at most so many bytes are sent to every reader of the ids.
 BROADCAST_BYTES = 32 << 20
 _NONE = -(1 << 63)
@@ -66,7 +68,13 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, dtype: str
     held = held.withColumn("part", bucket(F.col("doc_id"), cuts))
     order = ["part", "doc_id", "tie"]
     n = len(cuts) + 1
-    held.repartition(n, "part").sortWithinPartitions(*order).select("part", F.col("ids").cast("string").alias("value")).write.partitionBy("part").option("lineSep", end).text(f"{out}/ids")
+    for wave in range(WAVES):
+        lo, hi = n * wave // WAVES, n * (wave + 1) // WAVES
+        if lo < hi:
+            own = held.where((F.col("part") >= lo) & (F.col("part") < hi)).repartition(hi - lo, "part").sortWithinPartitions(*order)
+            own.select("part", F.col("ids").cast("string").alias("value")).write.mode("append").partitionBy("part").option("lineSep", end).text(f"{out}/ids")
+            del own
+            release(docs.sparkSession)
 
     sums = {r["part"]: r["n"] for r in held.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
     bases = dict(zip(sorted(sums), itertools.accumulate([0, *(sums[p] for p in sorted(sums))]), strict=False))
