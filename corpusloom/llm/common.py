@@ -49,12 +49,13 @@ class Staged:
         drop_dir(self.spark, self.path)
 
 
-def forget_others() -> None:
-    """On an executor: drop what a worker that ran another operator before still holds for it."""
-    encode, bpe = (sys.modules.get(f"{__package__}.{m}") for m in ("encode", "bpe"))
-    if encode is not None and encode._ENCODERS or bpe is not None and bpe._CODECS:
-        for held in (encode._ENCODERS if encode else {}, bpe._CODECS if bpe else {}):
-            held.clear()
+def forget_others(encoders: bool = True) -> None:
+    """On an executor: drop what a worker that ran another operator before still holds for it; token caches only if asked to."""
+    names = [("neardup", "_POWERS")] + [("encode", "_ENCODERS"), ("bpe", "_CODECS")] * encoders
+    held = [getattr(m, a) for n, a in names if (m := sys.modules.get(f"{__package__}.{n}")) is not None]
+    if any(held):
+        for h in held:
+            h.clear()
         gc.collect()
 
 

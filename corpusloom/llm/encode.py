@@ -43,8 +43,8 @@ def spaced(text: str) -> list[str]:
 class CachedEncoder:
     """ids(texts) yields the little-endian unsigned 32-bit ids of each text."""
 
-    def __init__(self, many: Callable[[list[str]], Iterable[bytes]], split: Callable[[str], list[str]]) -> None:
-        self.many, self.split = many, split
+    def __init__(self, many: Callable[[list[str]], Iterable[bytes]], split: Callable[[str], list[str]], keep: int = CACHE_CHUNKS) -> None:
+        self.many, self.split, self.keep = many, split, keep
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -72,14 +72,14 @@ class CachedEncoder:
         known.update({c: known[a] + known[b] for c, (a, b) in split.items()})
         for chunks in held:
             yield b"".join(map(known.__getitem__, chunks))
-        if len(known) > CACHE_CHUNKS:
+        if len(known) > self.keep:
             self.known, self.older = {}, known
 
 
 _ENCODERS: dict[tuple[str, str], CachedEncoder] = {}
 
 
-def tokenizer_encoder(path: str, kind: str) -> CachedEncoder:
+def tokenizer_encoder(path: str, kind: str, keep: int = CACHE_CHUNKS) -> CachedEncoder:
     """The encoder of a tokenizers file, one per worker process; kind: "words" or "spaced"."""
     if (path, kind) not in _ENCODERS:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -95,5 +95,5 @@ def tokenizer_encoder(path: str, kind: str) -> CachedEncoder:
                 for e in tok.encode_batch_fast(chunks[i : i + 2000], add_special_tokens=False):
                     yield np.array(e.ids, "<u4").tobytes()
 
-        _ENCODERS[path, kind] = CachedEncoder(many, words if kind == "words" else spaced)
+        _ENCODERS[path, kind] = CachedEncoder(many, words if kind == "words" else spaced, keep)
     return _ENCODERS[path, kind]

@@ -26,16 +26,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Staged
+from .common import Staged, forget_others
 from .encode import tokenizer_encoder
 
+#: Chunks that a worker keeps in each of two generations: fewer than for token files, as other stages run beside it.
+CACHE_CHUNKS = 150_000
+
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every text, with its task (block) and its rank there among pieces of its length (nth)."""
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokenizer_encoder(tokenizer, "spaced")
+        forget_others(encoders=False)
+        enc = tokenizer_encoder(tokenizer, "spaced", CACHE_CHUNKS)
         block, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for b in batches:
             rows: list[tuple] = []
