@@ -54,7 +54,16 @@ def sweep_decision(spark, sf):
 
 @query("SELECT lang, offered, round(offered * 250000.0 / sum(offered) OVER (), 4)::DOUBLE AS projected, offered * 250000.0 / sum(offered) OVER () < 20000 AS short FROM (SELECT lang, sum(n_chars)::BIGINT AS offered FROM documents WHERE doc_id % 4 = 0 GROUP BY lang)")
 def projected_available(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 4 = 0").groupBy("lang").agg(F.sum("n_chars").cast("long").alias("offered"))
+    return _projected(table(spark, sf, "documents").where("doc_id % 4 = 0"))
+
+
+@query()
+def projected_available_all(spark, sf):
+    return _projected(table(spark, sf, "documents"))
+
+
+def _projected(docs):
+    d = docs.groupBy("lang").agg(F.sum("n_chars").cast("long").alias("offered"))
     p = F.col("offered") * 250000.0 / F.sum("offered").over(Window.partitionBy())
     return d.select("lang", "offered", F.round(p, 4).alias("projected"), (p < 20000).alias("short"))
 
@@ -71,7 +80,16 @@ def carry_over_split(spark, sf):
 
 @query("SELECT doc_id, depth, p AS at, p // 256 AS chunk, n + 3 AS total FROM (SELECT doc_id, depth, floor(n * depth / 100.0)::INT AS p, n FROM (SELECT doc_id, len(regexp_extract_all(text, '{TOKEN}')) AS n FROM documents WHERE doc_id % 10 = 0), (SELECT unnest([0, 25, 50, 100]) AS depth))")
 def needle_planting(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 10 = 0").select("doc_id", T.tokens(F.col("text")).alias("toks"), F.explode(F.array(*map(F.lit, (0, 25, 50, 100)))).alias("depth"))
+    return _planted(table(spark, sf, "documents").where("doc_id % 10 = 0"))
+
+
+@query()
+def needle_planting_all(spark, sf):
+    return _planted(table(spark, sf, "documents"))
+
+
+def _planted(docs):
+    d = docs.select("doc_id", T.tokens(F.col("text")).alias("toks"), F.explode(F.array(*map(F.lit, (0, 25, 50, 100)))).alias("depth"))
     d = d.withColumn("all", R.planted(F.col("toks"), F.array(F.lit("\x00a"), F.lit("\x00b"), F.lit("\x00c")), F.col("depth")))
     at = (F.array_position("all", "\x00a") - 1).cast("int")
     return d.select("doc_id", "depth", at.alias("at"), F.floor(at / 256).cast("int").alias("chunk"), F.size("all").cast("long").alias("total"))
