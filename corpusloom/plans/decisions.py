@@ -117,9 +117,17 @@ def file_blocks(spark, sf):
 @query("SELECT doc_id, trim(substr(text, 1, 30)) AS step, lang AS tree FROM documents WHERE NOT contains(substr(text, 1, 30), chr(10))")
 def prompt_sections(spark, sf):
     head = F.substring("text", 1, 30)
-    prompt = F.concat(F.lit("STEP: "), head, F.lit("\n\nCONTEXT FILES:\nx\n\nPROJECT TREE:\n"), F.col("lang"))
-    d = table(spark, sf, "documents").where(~F.contains(head, F.lit("\n")))
-    return d.select("doc_id", R.section(prompt, "STEP: ", "\n\nCONTEXT FILES:").alias("step"), R.section(prompt, "PROJECT TREE:\n", None).alias("tree"))
+    return _sections(table(spark, sf, "documents").where(~F.contains(head, F.lit("\n"))), head)
+
+
+@query()
+def prompt_sections_whole(spark, sf):
+    return _sections(table(spark, sf, "documents"), F.col("text"))
+
+
+def _sections(docs, step):
+    prompt = F.concat(F.lit("STEP: "), step, F.lit("\n\nCONTEXT FILES:\nx\n\nPROJECT TREE:\n"), F.col("lang"))
+    return docs.select("doc_id", R.section(prompt, "STEP: ", "\n\nCONTEXT FILES:").alias("step"), R.section(prompt, "PROJECT TREE:\n", None).alias("tree"))
 
 
 @query("SELECT doc_id, len(t[greatest(1, len(t) - 63):]) AS tail, ends_with(text, chr(10)) AS breaks FROM (SELECT doc_id, text, regexp_extract_all(text, '{TOKEN}') AS t FROM documents)")

@@ -37,6 +37,12 @@ def two_key_dedup(spark, sf):
     return D.two_key_dedup(d, "sha", "reply", ["doc_id"]).select("doc_id", "status")
 
 
+@query()
+def two_key_dedup_whole(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.sha2(F.lower(T.collapse(F.col("text"))), 256).alias("reply"))
+    return D.two_key_dedup(d, "sha", "reply", ["doc_id"]).select("doc_id", "status")
+
+
 @query("SELECT doc_id, CASE WHEN doc_id = f THEN 'kept' WHEN doc_id > f THEN 'duplicate' ELSE 'contaminated' END AS status FROM (SELECT doc_id, min(CASE WHEN doc_id % 3 <> 0 THEN doc_id END) OVER (PARTITION BY lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS f FROM documents)")
 def first_clean_wins(spark, sf):
     d = table(spark, sf, "documents").withColumn("k", F.sha2(F.lower(T.collapse(F.col("text"))), 256))

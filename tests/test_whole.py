@@ -42,3 +42,19 @@ def test_every_document_is_offered(spark, documents):
     want = {lang: (n, round(n * 250000 / total, 4), n * 250000 / total < 20000) for lang, n in offered.items()}
     got = {r.lang: (r.offered, float(r.projected), r.short) for r in QUERIES["projected_available_all"](spark, sf).collect()}
     assert got == want and "only_odd" in got
+
+
+def test_texts_that_differ_late_are_no_duplicates(spark, tmp_path):
+    same = "The same forty characters stand at the start of "
+    texts = [same + "one", same + "two", "THE  same forty characters stand at the start of\none ", same + "one", "a\nline", "A line", "b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.status for r in QUERIES["two_key_dedup_whole"](spark, str(tmp_path)).collect()}
+    assert got == {0: "kept", 1: "kept", 2: "reply", 3: "sha", 4: "kept", 5: "reply", 6: "kept"}
+
+
+def test_prompts_hold_whole_texts_of_every_document(spark, tmp_path):
+    texts = ["short", "a\nb", " a text of far more than thirty characters\n\nin two parts ", "", "PROJECT TREE: x"]
+    rows = [(i, t, f"l{i}") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.step, r.tree) for r in QUERIES["prompt_sections_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: (t.strip(" "), lang) for i, t, lang in rows}
