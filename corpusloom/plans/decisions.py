@@ -52,6 +52,17 @@ def sweep_decision(spark, sf):
     return best.join(again, "event_type").select("event_type", F.col("b.user_id").alias("best"), F.round("b.l", 6).alias("loss"), F.round(noise, 6).alias("noise"), F.when(noise > 5, "unclear").otherwise("adopt").alias("decision"))
 
 
+@query()
+def sweep_decision_all(spark, sf):
+    """Each user is a run of every type: its 1st, 3rd, 5th ... events are the run, the others its repetition with another seed."""
+    nth = F.row_number().over(Window.partitionBy("event_type", "user_id").orderBy("event_id"))
+    e = table(spark, sf, "events").select("event_type", "user_id", "value", (nth % 2 == 1).alias("first"))
+    r = e.groupBy("event_type", "user_id").agg(F.avg(F.when(F.col("first"), F.col("value"))).alias("l"), F.avg(F.when(~F.col("first"), F.col("value"))).alias("again"))
+    best = r.where("l IS NOT NULL").groupBy("event_type").agg(F.min(F.struct("l", "user_id", "again")).alias("b"))
+    noise = F.abs(F.col("b.l") - F.col("b.again"))
+    return best.select("event_type", F.col("b.user_id").alias("best"), F.round("b.l", 6).alias("loss"), F.round(noise, 6).alias("noise"), F.when(noise <= 5, "adopt").otherwise("unclear").alias("decision"))
+
+
 @query("SELECT lang, offered, round(offered * 250000.0 / sum(offered) OVER (), 4)::DOUBLE AS projected, offered * 250000.0 / sum(offered) OVER () < 20000 AS short FROM (SELECT lang, sum(n_chars)::BIGINT AS offered FROM documents WHERE doc_id % 4 = 0 GROUP BY lang)")
 def projected_available(spark, sf):
     return _projected(table(spark, sf, "documents").where("doc_id % 4 = 0"))
@@ -168,8 +179,17 @@ def assert_extraction(spark, sf):
 
 @query("SELECT benchmark_id AS id, benchmark_id % 3 <> 1 AS passed, CASE WHEN benchmark_id % 3 = 1 THEN 'AssertionError' ELSE '' END AS error FROM (SELECT item_id AS benchmark_id FROM benchmark WHERE item_id < 6)")
 def sandboxed_tests(spark, sf):
+    return _tested(table(spark, sf, "benchmark").where("item_id < 6"))
+
+
+@query()
+def sandboxed_tests_all(spark, sf):
+    return _tested(table(spark, sf, "benchmark"))
+
+
+def _tested(items):
     code = F.concat(F.lit("def f(x):\n    return x + "), F.when(F.col("item_id") % 3 == 1, "2").otherwise("1"))
-    rows = table(spark, sf, "benchmark").where("item_id < 6").select(F.col("item_id").alias("id"), code.alias("code"), F.array(F.lit("assert f(1) == 2")).alias("tests"))
+    rows = items.select(F.col("item_id").alias("id"), code.alias("code"), F.array(F.lit("assert f(1) == 2")).alias("tests"))
     return R.run_tests(rows)
 
 

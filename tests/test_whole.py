@@ -58,3 +58,16 @@ def test_prompts_hold_whole_texts_of_every_document(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.step, r.tree) for r in QUERIES["prompt_sections_whole"](spark, str(tmp_path)).collect()}
     assert got == {i: (t.strip(" "), lang) for i, t, lang in rows}
+
+
+def test_every_benchmark_row_is_run(spark, tmp_path):
+    spark.createDataFrame([(i, "x") for i in (0, 1, 2, 7, 10, 300)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.id: (r.passed, r.error) for r in QUERIES["sandboxed_tests_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: (False, "AssertionError") if i % 3 == 1 else (True, "") for i in (0, 1, 2, 7, 10, 300)}
+
+
+def test_the_best_run_is_found_among_all_users(spark, tmp_path):
+    rows = [(1, 10, "a", 4.0), (2, 10, "a", 6.0), (3, 10, "a", 2.0), (4, 700, "a", 1.0), (5, 700, "a", 3.5), (6, 55, "a", 2.0), (7, 9, "b", 3.0), (8, 90, "b", 2.0), (9, 90, "b", 20.0), (10, 70, "c", 1.5), (11, 8, "c", 2.0), (12, 8, "c", 2.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {tuple(r) for r in QUERIES["sweep_decision_all"](spark, str(tmp_path)).select("event_type", "best", "loss", "noise", "decision").collect()}
+    assert got == {("a", 700, 1.0, 2.5, "adopt"), ("b", 90, 2.0, 18.0, "unclear"), ("c", 70, 1.5, None, "unclear")}
