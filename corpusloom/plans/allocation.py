@@ -126,13 +126,23 @@ def seeded_shuffle(spark, sf):
 
 @query(f"SELECT doc_id, epoch, start FROM (SELECT doc_id, e AS epoch, n, (e * total + cum - n)::BIGINT AS start FROM (SELECT doc_id, source, n, sum(n) OVER (PARTITION BY source ORDER BY doc_id) AS cum, sum(n) OVER (PARTITION BY source) AS total FROM (SELECT doc_id, source, {_TOKENS} AS n FROM documents WHERE source IN ('src1', 'src2'))), range(3) r(e)) WHERE start < 50000")
 def epoch_repeat(spark, sf):
+    return _repeated(_sized(spark, sf).where("source IN ('src1', 'src2')"), 3).select("doc_id", "epoch", "start").where("start < 50000")
+
+
+@query()
+def epoch_repeat_all(spark, sf):
+    """Every source gives three times its unique tokens."""
+    return _repeated(_sized(spark, sf), 3).select("doc_id", "epoch", "start")
+
+
+def _repeated(docs, epochs):
+    """The documents of each source in order, again in every epoch, with the tokens before each."""
     from pyspark.sql import Window
 
-    d = table(spark, sf, "documents").where("source IN ('src1', 'src2')").select("doc_id", "source", (F.size(T.tokens(F.col("text"))) + 1).alias("n"))
     w = Window.partitionBy("source")
-    d = d.withColumn("cum", F.sum("n").over(w.orderBy("doc_id"))).withColumn("total", F.sum("n").over(w))
-    d = d.withColumn("epoch", F.explode(F.array(*[F.lit(e).cast("long") for e in range(3)])))
-    return d.select("doc_id", "epoch", (F.col("epoch") * F.col("total") + F.col("cum") - F.col("n")).cast("long").alias("start")).where("start < 50000")
+    d = docs.withColumn("cum", F.sum("n_tokens").over(w.orderBy("doc_id"))).withColumn("total", F.sum("n_tokens").over(w))
+    d = d.withColumn("epoch", F.explode(F.array(*[F.lit(e).cast("long") for e in range(epochs)])))
+    return d.withColumn("start", (F.col("epoch") * F.col("total") + F.col("cum") - F.col("n_tokens")).cast("long"))
 
 
 def _sized(spark, sf):
@@ -141,7 +151,10 @@ def _sized(spark, sf):
 
 @query()
 def deficit_interleave(spark, sf):
-    return M.deficit_interleave(_sized(spark, sf), [("src0", 9000), ("src1", 5000), ("src2", 2500)])
+    rows = _sources(spark, sf).withColumn("consumed", F.lit(0).cast("long")).withColumn("exhausted", F.lit(True))
+    total = rows.agg(F.sum("unique_tokens")).first()[0] or 0
+    want = A.chunk_allocation(rows, total, 2).orderBy("position").select("source", "tokens").collect()
+    return M.deficit_interleave(_sized(spark, sf), [(r["source"], int(r["tokens"])) for r in want])
 
 
 @query()

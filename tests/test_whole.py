@@ -71,3 +71,38 @@ def test_the_best_run_is_found_among_all_users(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = {tuple(r) for r in QUERIES["sweep_decision_all"](spark, str(tmp_path)).select("event_type", "best", "loss", "noise", "decision").collect()}
     assert got == {("a", 700, 1.0, 2.5, "adopt"), ("b", 90, 2.0, 18.0, "unclear"), ("c", 70, 1.5, None, "unclear")}
+
+
+def sized_documents(spark, at):
+    rows = [(i, " ".join(["w"] * (1 + i * 7 % 11)), "en", f"src{i % 6}") for i in range(240)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{at}/documents.parquet")
+    by = {}
+    for i, text, _, source in rows:
+        by.setdefault(source, []).append((i, len(tokens(text)) + 1))
+    return by
+
+
+def test_every_source_is_repeated(spark, tmp_path):
+    want = set()
+    for own in sized_documents(spark, tmp_path).values():
+        start = 0
+        for epoch in range(3):
+            for doc_id, n in own:
+                want.add((doc_id, epoch, start))
+                start += n
+    got = [tuple(r) for r in QUERIES["epoch_repeat_all"](spark, str(tmp_path)).select("doc_id", "epoch", "start").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_every_source_enters_the_mix(spark, tmp_path):
+    by = sized_documents(spark, tmp_path)
+    unique = {s: sum(n for _, n in own) for s, own in by.items()}
+    got = QUERIES["deficit_interleave"](spark, str(tmp_path)).orderBy("place").collect()
+    assert {r.source for r in got} == set(by)
+    size = {i: n for own in by.values() for i, n in own}
+    taken = {s: sum(size[r.doc_id] for r in got if r.source == s) for s in by}
+    assert sum(unique.values()) <= sum(taken.values()) < sum(unique.values()) + max(size.values())
+    assert all(taken[s] < 2 * unique[s] + max(size.values()) for s in by)
+    for s, own in by.items():
+        ids = [i for i, _ in own]
+        assert [(r.doc_id, r.epoch) for r in got if r.source == s] == [(ids[k % len(ids)], k // len(ids)) for k in range(sum(r.source == s for r in got))]
