@@ -1,8 +1,8 @@
 """MinHash near-duplicates: universal hash minima, banding, signature verification, exact confirmation, components.
 
 1. A text's set is its distinct shingles of `width` lower-cased words, hashed to 64 bits. ROWS * BANDS minima of
-   universal hashes a * x + b are taken over whole sets; each band of ROWS minima is a bucket key, and one byte
-   of every minimum is kept as the signature.
+   universal hashes a * x + b are taken over whole sets; each band of minima (ROWS of them, fewer below 85 %) is a
+   bucket key, and one byte of every minimum is kept as the signature.
 2. Texts with equal sets become one class, of which one representative goes on: copies cost no pairs.
 3. In each bucket every member is compared with the smallest one only, so that a bucket of n costs n pairs. Pairs that
    pass the sizes and the signature are confirmed on the full sets, the likeliest of each document first; pairs that
@@ -32,8 +32,10 @@ from .common import Staged, forget_others, release
 from .components import components
 
 ROWS, BANDS, WIDTH = 6, 40, 5
-#: A pair whose signatures agree in less than this share is not confirmed: over five standard deviations below the threshold.
-LIKELY = 0.72
+#: A pair whose signatures agree so many standard deviations below the threshold is not confirmed; 0.72 at 85 %.
+MARGIN = 5.64
+#: A pair at the threshold may share no band with this probability at most.
+MISSED = 1e-8
 #: Unresolved buckets up to this size compare pair by pair, larger ones in blocks of about so many members.
 SMALL, BLOCK = 32, 256
 #: Bytes of text that a worker shingles at once.
@@ -132,13 +134,27 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
-def _band_keys(least: np.ndarray) -> np.ndarray:
-    mixed = (least.reshape(BANDS, ROWS).astype("u8") * _MIX).sum(1, dtype="u8") + np.arange(BANDS, dtype="u8") * np.uint64(0x632BE59BD9B4E019)
+def likely(percent: int) -> float:
+    """The least share in which the signatures of a pair must agree to be confirmed."""
+    p = percent / 100
+    return p - MARGIN * (p * (1 - p) / (ROWS * BANDS)) ** 0.5
+
+
+def band_rows(percent: int) -> int:
+    """Minima a band: ROWS, or fewer where a pair at the threshold would share no band too often."""
+    p, n = percent / 100, ROWS * BANDS
+    return next((r for r in range(ROWS, 1, -1) if n % r == 0 and (1 - p**r) ** (n // r) <= MISSED), 1)
+
+
+def _band_keys(least: np.ndarray, rows: int) -> np.ndarray:
+    bands = len(least) // rows
+    mixed = (least.reshape(bands, rows).astype("u8") * _MIX[:rows]).sum(1, dtype="u8") + np.arange(bands, dtype="u8") * np.uint64(0x632BE59BD9B4E019)
     return _mixed(mixed).view("i8")
 
 
-def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def signatures(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, k1 and k2 (which name the set), bands, sig; the last two empty for empty sets."""
+    own = band_rows(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others()
@@ -150,7 +166,7 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 k1.append(int(name[0]))
                 k2.append(int(name[1]))
                 least = minima(s) if len(s) else None
-                bands.append(_band_keys(least) if len(s) else np.empty(0, "i8"))
+                bands.append(_band_keys(least, own) if len(s) else np.empty(0, "i8"))
                 sig.append(least.astype("u1").tobytes() if len(s) else b"")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "bands", "sig"])
 
@@ -172,12 +188,12 @@ def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return rows.join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """a, b, likeness of the pairs whose sizes and signatures allow a link."""
     side = reps.select(F.col("doc_id"), "n_shingles", "sig")
     both = pairs.join(side.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb")), "b")
     both = both.join(side.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa")), "a")
-    both = both.where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
+    both = both.where(F.least("na", "nb") >= F.greatest("na", "nb") * (percent / 100))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,7 +203,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(like)], ["a", "b", "likeness"])
 
     found = both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, likeness double")
-    return found.where(F.col("likeness") >= LIKELY).groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
+    return found.where(F.col("likeness") >= likely(percent)).groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -218,14 +234,14 @@ class _Links:
 
     def add(self, pairs: DataFrame) -> None:
         """Confirm pairs (a, b), each document's likeliest first."""
-        likely = Staged(_likely(pairs, self.reps, self.percent / 100), "pairs").df
-        if likely.isEmpty():
+        found = Staged(_likely(pairs, self.reps, self.percent), "pairs").df
+        if found.isEmpty():
             return
-        ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        ids = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         sets = Staged(_sets_of(self.docs, ids, self.width), "sets")
-        best = likely.groupBy("b").agg(F.max_by("a", F.struct("likeness", -F.col("a"))).alias("a"))
+        best = found.groupBy("b").agg(F.max_by("a", F.struct("likeness", -F.col("a"))).alias("a"))
         self.take(_confirmed(best, sets.df, self.percent))
-        rest = Staged(self.apart(likely.join(best, ["a", "b"], "left_anti")), "pairs").df
+        rest = Staged(self.apart(found.join(best, ["a", "b"], "left_anti")), "pairs").df
         if not rest.isEmpty():
             self.take(_confirmed(rest, sets.df, self.percent))
         sets.drop()
@@ -306,7 +322,7 @@ def link_classes(docs: DataFrame, reps: DataFrame, percent: int = 85, width: int
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
-    signed = Staged(signatures(docs, width), "signatures").df
+    signed = Staged(signatures(docs, percent, width), "signatures").df
     known = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = Staged(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("cid")), "classes").df
     reps = Staged(known.join(classes.select(F.col("cid").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"]), "representatives").df
