@@ -7,7 +7,8 @@ one space between runs of them, in blocks of BLOCK characters that each start a
 
 The training texts are a bounded sample: of each language the documents with the smallest hashes of doc_id, at most
 TRAIN_DOCS, as many as fit in TRAIN_CHARS characters (the first is taken in any case, cut to that size). More text
-would only make the automata larger; everything is then predicted with them.
+would only make the automata larger; everything is then predicted with them. Every letter of the training texts has a
+code of its own; beyond DENSE codes the moves are looked up in a sorted list, as a table of all would not fit.
 
 Null texts and texts without a letter are `und` with score 0, as is everything where nothing could be learnt. Ties go to
 the first language in order. Rows are predicted each. Extra columns are ignored. An empty table gives no rows.
@@ -27,6 +28,8 @@ from .common import forget_others
 
 TRAIN_DOCS, TRAIN_CHARS = 200, 30_000
 BLOCK, LANES = 512, 4096
+#: Up to so many codes the moves are one table.
+DENSE = 253
 _FLAG = np.uint32(1 << 31)
 #: Codes of the alphabet: padding, letters never seen in training, the space; seen letters follow.
 PAD, UNSEEN, SPACE = 0, 1, 2
@@ -44,8 +47,8 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "u4")
 
 
-def automaton(text: list[int], alphabet: int) -> np.ndarray:
-    """next[state, code] of the suffix automaton of a sequence; state 0 is dead, state 1 the start."""
+def transitions(text: list[int]) -> list[dict[int, int]]:
+    """{code: next} by state of the suffix automaton of a sequence; state 0 is dead, state 1 the start."""
     step: list[dict[int, int]] = [{}, {}]
     link, length = [0, 0], [0, 0]
     last = 1
@@ -72,6 +75,12 @@ def automaton(text: list[int], alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
+    return step
+
+
+def automaton(text: list[int], alphabet: int) -> np.ndarray:
+    """next[state, code] of the suffix automaton of a sequence."""
+    step = transitions(text)
     out = np.zeros((len(step), alphabet), "u4")
     for s, to in enumerate(step):
         for c, t in to.items():
@@ -81,20 +90,26 @@ def automaton(text: list[int], alphabet: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Languages, the code of every code point, one table of all automata, their starts, and the bits of a phrase."""
+    """Languages, the code of every code point, one table of all automata, their starts, and the bits of a phrase.
+
+    Beyond DENSE codes the table has the moves that end no phrase, at the sorted state * width + code in keys, and
+    restarts those that do, by language and code.
+    """
 
     langs: list[str]
     codes: dict[int, int]
     table: np.ndarray
     starts: np.ndarray
     bits: np.ndarray
+    keys: np.ndarray | None = None
+    restarts: np.ndarray | None = None
 
     @property
     def width(self) -> int:
         return len(self.codes) + 3
 
     def code_table(self) -> np.ndarray:
-        out = np.where(_letters(), UNSEEN, SPACE).astype("u1")
+        out = np.where(_letters(), UNSEEN, SPACE).astype(np.min_scalar_type(self.width))
         for point, code in self.codes.items():
             out[point] = code
         return out
@@ -106,14 +121,11 @@ def build(texts: dict[str, str]) -> Model:
     read = {lang: points(texts[lang]) for lang in langs}
     seen = np.unique(np.concatenate([*read.values(), np.empty(0, "u4")])).astype("u4")
     seen = [int(x) for x in seen if _letters()[x]]
-    # at most 250 letters have codes of their own, the most frequent ones
-    if len(seen) > 250:
-        every = np.concatenate(list(read.values()))
-        counts = {x: int((every == x).sum()) for x in seen}
-        seen = sorted(sorted(seen, key=lambda x: (-counts[x], x))[:250])
     codes = {x: i + 3 for i, x in enumerate(seen)}
     model = Model(langs, codes, np.empty(0, "u4"), np.empty(0, "u4"), np.empty(0))
     table = model.code_table()
+    if model.width > DENSE:
+        return _sparse(model, {lang: squeezed(table[read[lang]]).tolist() for lang in langs})
     tables, starts, bits, base = [], [], [], 0
     for lang in langs:
         seq = squeezed(table[read[lang]])
@@ -132,6 +144,27 @@ def build(texts: dict[str, str]) -> Model:
     return model
 
 
+def _sparse(model: Model, read: dict[str, list[int]]) -> Model:
+    keys, moves, starts, bits, base = [], [], [], [], 0
+    model.restarts = np.empty((len(read), model.width), "u4")
+    for k, seq in enumerate(read.values()):
+        own = transitions(seq)
+        edges = [(base + s, c, base + t) for s, to in enumerate(own) for c, t in sorted(to.items())]
+        state, code, to = np.array(edges, "u8").reshape(-1, 3).T
+        keys.append(state * np.uint64(model.width) + code)
+        moves.append(to.astype("u4"))
+        # where reading stops a phrase ends and the next starts with the same character
+        model.restarts[k] = np.uint32(base + 1) | _FLAG
+        for c, t in own[1].items():
+            model.restarts[k, c] = np.uint32(base + t) | _FLAG
+        starts.append(base + 1)
+        bits.append(np.log2(len(seq) + 2))
+        base += len(own)
+    model.keys, model.table = np.concatenate(keys), np.concatenate(moves)
+    model.starts, model.bits = np.array(starts, "u4"), np.array(bits)
+    return model
+
+
 def squeezed(codes: np.ndarray) -> np.ndarray:
     """Without repeated, first and last spaces."""
     space = codes == SPACE
@@ -149,12 +182,19 @@ def phrases(model: Model, lanes: np.ndarray) -> np.ndarray:
     ends = np.zeros(state.shape, "u4")
     width, table, low = np.uint32(model.width), model.table, ~_FLAG
     for column in np.ascontiguousarray(lanes.T):
-        move = table.take(state * width + column)
+        move = table.take(state * width + column) if model.keys is None else _looked_up(model, state, column)
         ends += move >> np.uint32(31)
         state = move & low
     return ends
 
 
+def _looked_up(model: Model, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+    key = state.astype("u8") * np.uint64(model.width) + column
+    at = np.minimum(np.searchsorted(model.keys, key), len(model.keys) - 1)
+    move = np.where(model.keys[at] == key, model.table[at], model.restarts[:, column])
+    return np.where(column == PAD, state, move)
+
+
 def costs(model: Model, texts: list[str | None]) -> np.ndarray:
     """Bits of each text in each language, and as the last column its characters."""
     table = model.code_table()
@@ -177,7 +217,7 @@ def costs(model: Model, texts: list[str | None]) -> np.ndarray:
         out[i, -1] = len(seq)
         if len(seq):
             rows = -(-len(seq) // BLOCK)
-            lanes = np.zeros(rows * BLOCK, "u1")
+            lanes = np.zeros(rows * BLOCK, table.dtype)
             lanes[: len(seq)] = seq
             held.append(lanes.reshape(rows, BLOCK))
             owner.append(np.full(rows, i))
