@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-#: Elements without an end, elements whose content is not page text, and elements inside a line of text.
+#: Elements without an end, elements whose content is not page text, elements that stand in a head, and elements inside a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("button datalist form head iframe math noscript object option script select style svg template textarea title".split())
+HEAD = frozenset("base link meta noscript script style template title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input".split())
 #: Elements that a new element of the key ends if they are still open above it.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -59,7 +60,18 @@ class _Reader(HTMLParser):
             self.links -= e[0] == "a"
         del self.open[at:]
 
+    def end_head(self) -> None:
+        """What cannot stand in a head ends it."""
+        if self.open and self.open[-1][0] == "head":
+            self.pop_to(len(self.open) - 1)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "body":
+            names = [e[0] for e in self.open]
+            if "head" in names:
+                self.pop_to(names.index("head"))
+        elif tag not in HEAD:
+            self.end_head()
         if tag == "br":
             self.data.append(" ")
         if tag in INLINE:
@@ -95,6 +107,8 @@ class _Reader(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self.end_head()
         if not self.unseen:
             self.data.append(data)
             if self.links:
