@@ -62,6 +62,12 @@ def labelled_pages(n: int, seed: int) -> Iterator[tuple[str, set[str]]]:
             notes = "".join(rng.choice([f'<div class="comment"><b>{text(1, 2, False)}</b><p>{prose()}</p></div>', f"<p>{prose()}</p>", f'<li class="comment">{prose()}</li>']) for _ in range(rng.randint(1, 5)))
             return f'<{tag} {rng.choice(["class", "id"])}="{rng.choice(["comments", "comment-list", "replies", "discussion"])}"><h3>{text(1, 2, False)}</h3>{notes}</{tag}>'
 
+        def form() -> str:
+            """A form that asks the reader for something."""
+            fields = "".join(rng.choice([f"<label>{text(1, 3, False)}</label><input>", f"<p>{text(1, 4, False)} <input></p>", f"<div><label>{text(1, 2, False)}</label><select><option>{text(1, 1, False)}</select></div>"]) for _ in range(rng.randint(1, 3)))
+            lead = rng.choice(["", f"<p>{prose()}</p>", f"<h3>{text(1, 4, False)}</h3>", f"<legend>{text(1, 3, False)}</legend>"])
+            return f"<form{rng.choice(['', ' class=search', ' id=login', ' action=go'])}>{lead}{fields}<button>{text(1, 1, False)}</button></form>"
+
         def body() -> str:
             out = [f"<h1>{own(text(2, 9, rng.random() < 0.4))}</h1>"] if rng.random() < 0.85 else []
             for _ in range(rng.randint(1, 12)):
@@ -77,8 +83,8 @@ def labelled_pages(n: int, seed: int) -> Iterator[tuple[str, set[str]]]:
                 elif r < 0.9:
                     out.append(f"<blockquote><p>{own(prose())}</p></blockquote>")
                 elif r < 0.93:
-                    out.append(f'<p>{own(text(3, 9, True))[:-1]} <a href="#">kalo</a>.</p>'.replace("<p>", "<p>", 1))
-                    main.add(_joined(out[-1]))
+                    out.append(f'<p>{text(3, 9, True)[:-1]} <a href="#">kalo</a>.</p>')
+                    own(_joined(out[-1]))
                 elif r < 0.96:
                     out.append(loud(rng.choice(["ad", "notice", "more"])))
                 else:
@@ -93,18 +99,25 @@ def labelled_pages(n: int, seed: int) -> Iterator[tuple[str, set[str]]]:
             k = rng.randint(2, 8)
             before.append(rng.choice([f"<nav>{links(k)}</nav>", f'<div class="{rng.choice(["menu", "navbar", "nav"])}">{links(k)}</div>', f"<header>{text(1, 3, False)}<nav>{links(k)}</nav></header>"]))
         if rng.random() < 0.3:
-            before.append(f'<{rng.choice(["header", "div class=header"])}><h2>{text(1, 3, False)}</h2><p>{prose()}</p>' + "</header></div>"[: 9 if rng.random() < 0 else None])
-            before[-1] = before[-1].replace("</header></div>", "</header>" if before[-1].startswith("<header") else "</div>")
+            start, end = rng.choice([("<header>", "</header>"), ("<div class=header>", "</div>")])
+            before.append(f"{start}<h2>{text(1, 3, False)}</h2><p>{prose()}</p>{end}")
         before += [loud("ad")] * (rng.random() < 0.6) + [loud("notice")] * (rng.random() < 0.3)
         after = [comments()] * (rng.random() < 0.35)
         if rng.random() < 0.4:
             after.append(rng.choice([f"<aside><h3>{text(1, 3, False)}</h3>{links(3)}<p>{prose()}</p></aside>", f'<div class="sidebar"><p>{prose()}</p>{links(2)}</div>']))
         if rng.random() < 0.3:
-            after.append(f"<form><label>{text(1, 2, False)}</label><input><button>{text(1, 1, False)}</button></form>")
+            (after if rng.random() < 0.6 else before).append(form())
         after += [loud("more")] * (rng.random() < 0.3)
         if rng.random() < 0.85:
             after.append(rng.choice([f"<footer>&copy; site &middot; {prose()}</footer>", f"<footer><p>{prose()}</p>{links(2)}</footer>", f'<div class="footer">{prose()}</div>']))
         inner = body()
+        # some servers put the whole page or its article into one form
+        around = rng.random()
+        if around < 0.08:
+            before.insert(0, f'<form {rng.choice(["id=form", "id=mainForm method=post", "class=page-form", ""])}><input type="hidden">')
+            after.append("</form>")
+        elif around < 0.16:
+            inner = f"<form{rng.choice(['', ' id=form', ' action=x'])}>{inner}</form>"
         html = f"<!DOCTYPE html><html><head><title>{text(2, 6, False)}</title><style>p{{margin:0}}</style></head><body>{''.join(before)}<{tag}{name}>{inner}</{tag}>{''.join(after)}" + rng.choice(["</body></html>", ""])
         yield html, main
 
