@@ -1,127 +1,117 @@
 """Token ids as flat binary files with 64-bit document offsets.
 
 Layout below one folder:
-- ids/part=K/part-*.txt     unsigned 16- or 32-bit little-endian ids, each document ended by the end id, nothing else;
-- index/part=K/part-*.txt   signed 64-bit doc_ids of the file, then unsigned 64-bit offsets (one more than documents)
-                            counted in ids from the start of part 0, then the 8 bytes of INDEX_END.
-Parts hold ascending, disjoint ranges of doc_id; their bases are prefix sums of the parts' token counts. The
-files are written by Spark's committer, so a lost executor leaves no half file and any store works;
-readers on a mounted store map them into memory.
+- parts/kind=ids/part-N-*.txt     unsigned 16- or 32-bit little-endian ids, each document ended by the end id, nothing else;
+- parts/kind=index/part-N-*.txt   signed 64-bit doc_ids of the part, then unsigned 64-bit offsets (one more than documents)
+                                  counted in ids from the start of the part, then the 8 bytes of INDEX_END and one end id;
+- bases                           Parquet: part, n_ids and base, the prefix sum of the counts of the parts before it.
+Parts hold ascending, disjoint ranges of (doc_id, hash of the text), so that one hot doc_id is many parts. Texts are dealt to
+their ranges once and tokenised there; the files are written by Spark's committer, so a lost executor leaves no half
+file and any store works. Readers on a mounted store map them into memory. Nothing about documents reaches the
+driver, and the plan does not grow with the table.
 
 Null and empty texts hold the end id alone. Null doc_ids come first. Equal doc_ids are ordered by their
-ids' hash and kept. Extra columns are ignored. An empty table gives empty folders and no rows.
+texts' hash and kept. Extra columns are ignored. An empty table gives no files and no rows.
 """
 
 from __future__ import annotations
 
 import glob
-import itertools
 import math
 import re
-
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Staged, bounds, bucket, release
-from .encode import tokenizer_encoder
+from .encode import ended, tokenizer_encoder
 
-#: Ends an index file; also tells that it is whole.
-INDEX_END = b"LOOMIDX1"
-#: Parts are shuffled and written in so many goes, each of which frees its shuffle files before the next.
-WAVES = 3
+#: Ends an index; also tells that it is whole.
+INDEX_END = b"LOOMIDX2"
+#: Mean bytes of text in a part, and parts at most, beyond which parts are larger: their bases are summed up in one task.
+PART_BYTES, MOST_PARTS = 16 << 20, 200_000
 #: Indexes of at most so many bytes are sent to every reader of the ids.
 BROADCAST_BYTES = 32 << 20
 _NONE = -(1 << 63)
 
 
-def tokenise(docs: DataFrame, tokenizer: str, end_id: int, dtype: str) -> DataFrame:
-    """doc_id, n_tokens (with the end id), ids (without it, in the files' integers), tie."""
+def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, dtype: str = "uint16", part_bytes: int = PART_BYTES) -> None:
+    """Write the files of `docs` below `out`. dtype must hold every id."""
+    kind = np.dtype(dtype).newbyteorder("<")
+    end = np.array([end_id], kind).tobytes()
+    assert end.isascii(), "the end id's bytes must be ASCII"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokenizer_encoder(tokenizer, "words")
+        doc_ids, sizes, seq = [], [], 0
         for b in batches:
-            n, ids = [], []
-            for x in enc.ids(b.column(1).to_pylist()):
-                n.append(len(x) // 4 + 1)
-                ids.append(np.frombuffer(x, "<u4").astype(dtype).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
-
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
-    return out.withColumn("tie", F.xxhash64("ids"))
-
-
-def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, dtype: str = "uint16", ids_per_file: int = 1 << 21) -> None:
-    """Write the files of `docs` below `out`. dtype must hold every id; ids_per_file is the mean size of a file."""
-    kind = np.dtype(dtype).newbyteorder("<")
-    end = np.array([end_id], kind).tobytes().decode("latin-1")
-    assert end.isascii() and max(map(ord, end)) < 128, "the end id's bytes must be ASCII"
-    spark = docs.sparkSession
-    staged = Staged(tokenise(docs, tokenizer, end_id, dtype), "tokens")
-    held = staged.df
-    total = held.agg(F.sum("n_tokens")).first()[0] or 0
-    cuts = bounds(held, "doc_id", math.ceil(total / ids_per_file))
-    held = held.withColumn("part", bucket(F.col("doc_id"), cuts))
-    order = ["part", "doc_id", "tie"]
-    n = len(cuts) + 1
-    for wave in range(WAVES):
-        lo, hi = n * wave // WAVES, n * (wave + 1) // WAVES
-        if lo < hi:
-            own = held.where((F.col("part") >= lo) & (F.col("part") < hi)).repartition(hi - lo, "part").sortWithinPartitions(*order)
-            own.select("part", F.col("ids").cast("string").alias("value")).write.mode("append").partitionBy("part").option("lineSep", end).text(f"{out}/ids")
-            del own
-            release(docs.sparkSession)
-
-    sums = {r["part"]: r["n"] for r in held.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
-    bases = dict(zip(sorted(sums), itertools.accumulate([0, *(sums[p] for p in sorted(sums))]), strict=False))
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            value = []
-            for part, rows in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                doc_ids = rows.values.field("doc_id").fill_null(_NONE).to_numpy(zero_copy_only=False).astype("<i8")
-                lengths = rows.values.field("n_tokens").to_numpy(zero_copy_only=False)
-                value.append(doc_ids.tobytes() + (bases[part] + np.concatenate([[0], np.cumsum(lengths)])).astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(value, pa.binary())], ["part", "value"])
-
-    lists = held.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tie", "n_tokens"))).alias("rows"))
-    found = lists.mapInArrow(index, "part int, value binary")
-    found.repartition(n, "part").sortWithinPartitions("part").select("part", F.col("value").cast("string").alias("value")).write.partitionBy("part").option("lineSep", INDEX_END.decode()).text(f"{out}/index")
-    staged.drop()
-
-
-def _split_index(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    assert raw[-8:] == INDEX_END, "the index file is not whole"
-    n = (len(raw) - 16) // 16
+            doc_ids.append(b.column(0).fill_null(_NONE).to_numpy().astype("<i8"))
+            for ids, ends in enc.columns(b.column(1)):
+                ids, ends = ended(ids, ends, end_id)
+                sizes.append(np.diff(ends, prepend=0))
+                value = ids[:-1].astype(kind).tobytes()  # the writer ends every value with the end id
+                yield pa.RecordBatch.from_arrays([pa.array(["ids"]), pa.array([seq]), pa.array([value], pa.binary())], ["kind", "seq", "value"])
+                seq += 1
+        if seq:
+            offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype("<u8")
+            value = np.concatenate(doc_ids).tobytes() + offsets.tobytes() + INDEX_END
+            yield pa.RecordBatch.from_arrays([pa.array(["index"]), pa.array([0]), pa.array([value], pa.binary())], ["kind", "seq", "value"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long") + 4)).first()[0] or 0
+    parts = min(max(1, math.ceil(size / part_bytes)), MOST_PARTS)
+    order = ["doc_id", "tie"]
+    dealt = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    written = dealt.select("doc_id", "text").mapInArrow(run, "kind string, seq long, value binary").sortWithinPartitions("kind", "seq")
+    written.select("kind", F.col("value").cast("string").alias("value")).write.partitionBy("kind").option("lineSep", end.decode()).text(f"{out}/parts")
+    if not size:
+        return
+    counts = _files(docs.sparkSession, out, "ids").select("part", F.floor(F.col("length") / kind.itemsize).cast("long").alias("n_ids"))
+    base = F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids")
+    counts.withColumn("base", base).coalesce(1).write.parquet(f"{out}/bases")
+
+
+def _files(spark: SparkSession, out: str, what: str) -> DataFrame:
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(f"{out}/parts/kind={what}")
+    return found.withColumn("part", F.regexp_extract("path", r"/part-(\d+)-[^/]*$", 1).cast("long"))
+
+
+def _split_index(raw: bytes, item: int) -> tuple[np.ndarray, np.ndarray]:
+    n = (len(raw) - 16 - item) // 16
+    assert raw[16 * n + 8 : 16 * n + 16] == INDEX_END, "the index is not whole"
     return np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<u8", n + 1, 8 * n)
 
 
 def read(spark: SparkSession, out: str, dtype: str = "uint16") -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (of the ids as unsigned 32-bit) of every document, from the files."""
     kind = np.dtype(dtype).newbyteorder("<")
-
-    def files(what: str) -> DataFrame:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(f"{out}/{what}")
-        return found.select(F.regexp_extract("path", r"part=(\d+)", 1).alias("part"), F.col("content").alias(what), F.col("length").alias(f"{what}_bytes"))
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids_raw, index_raw in zip(b.column(0), b.column(1), strict=True):
+            for ids_raw, index_raw, base in zip(b.column(0), b.column(1), b.column(2).to_pylist(), strict=True):
                 ids = np.frombuffer(ids_raw.as_buffer(), kind)
-                doc_ids, offsets = _split_index(index_raw.as_py())
-                at = (offsets - offsets[0]).astype("int64")
-                crc = [zlib.crc32(ids[i:j].astype("<u4").tobytes()) for i, j in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=doc_ids == _NONE), pa.array(offsets[:-1].astype("int64")), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    index = files("index")
-    size = index.agg(F.sum("index_bytes")).first()[0] or 0
+                doc_ids, offsets = _split_index(index_raw.as_py(), kind.itemsize)
+                at = offsets.astype("i8")
+                assert at[-1] == len(ids), "ids and index differ"
+                view = memoryview(ids.astype("<u4").tobytes())
+                crc = [zlib.crc32(view[4 * i : 4 * j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=doc_ids == _NONE), pa.array(base + at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/bases")
+    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+        return spark.createDataFrame([], schema)  # of an empty table
+    index = _files(spark, out, "index")
+    size = index.agg(F.sum("length")).first()[0]
+    index = index.select("part", F.col("content").alias("index"))
     if size <= BROADCAST_BYTES:  # 16 bytes a document; beyond it both sides are shuffled
         index = F.broadcast(index)
-    return files("ids").join(index, "part").select("ids", "index").mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    bases = spark.read.parquet(f"{out}/bases").select("part", "base")  # at most MOST_PARTS rows
+    found = _files(spark, out, "ids").select("part", F.col("content").alias("ids")).join(index, "part").join(F.broadcast(bases), "part")
+    return found.select("ids", "index", "base").mapInArrow(rows, schema)
 
 
 class Mapped:
@@ -129,21 +119,22 @@ class Mapped:
 
     def __init__(self, folder: str, dtype: str = "uint16") -> None:
         def parts(what: str) -> dict[int, str]:
-            return {int(re.search(r"part=(\d+)", p)[1]): p for p in glob.glob(f"{folder}/{what}/part=*/*.txt")}
+            return {int(re.search(r"/part-(\d+)-[^/]*$", p)[1]): p for p in glob.glob(f"{folder}/parts/kind={what}/*.txt")}
 
         ids, index = parts("ids"), parts("index")
-        self.ids = [np.memmap(ids[p], np.dtype(dtype).newbyteorder("<"), "r") for p in sorted(ids)]
-        split = [_split_index(bytes(np.memmap(index[p], "u1", "r"))) for p in sorted(ids)]
+        kind = np.dtype(dtype).newbyteorder("<")
+        self.ids = [np.memmap(ids[p], kind, "r") for p in sorted(ids)]
+        split = [_split_index(bytes(np.memmap(index[p], "u1", "r")), kind.itemsize) for p in sorted(ids)]
         self.doc_ids = [s[0] for s in split]
         self.offsets = [s[1] for s in split]
-        self.bases = np.array([o[0] for o in self.offsets], "u8")
+        self.bases = np.cumsum([0, *(len(i) for i in self.ids)])
 
     def __len__(self) -> int:
-        return int(self.offsets[-1][-1]) if self.offsets else 0
+        return int(self.bases[-1])
 
     def document(self, part: int, i: int) -> np.ndarray:
         o = self.offsets[part]
-        return self.ids[part][int(o[i] - o[0]) : int(o[i + 1] - o[0])]
+        return self.ids[part][int(o[i]) : int(o[i + 1])]
 
     def slice(self, start: int, stop: int) -> np.ndarray:
         """Ids [start, stop) of the whole corpus, over as many files as they span."""
