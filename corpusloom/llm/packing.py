@@ -27,39 +27,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Staged, forget_others
-from .encode import tokenizer_encoder
+from .encode import ended, tokenizer_encoder
 
 #: Chunks that a worker keeps in each of two generations: fewer than for token files, as other stages run beside it.
-CACHE_CHUNKS = 150_000
+CACHE_CHUNKS = 250_000
+
+
+def cut(ends: np.ndarray, capacity: int) -> tuple[np.ndarray, ...]:
+    """text, piece, start and length of the pieces of consecutive texts whose ids, with the end ids, end there."""
+    sizes = np.diff(ends, prepend=0)
+    pieces = -(-sizes // capacity)
+    text = np.repeat(np.arange(len(sizes)), pieces)
+    piece = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first = (sizes - 1) % capacity + 1
+    start = np.where(piece == 0, 0, first[text] + (piece - 1) * capacity)
+    return text, piece, start, np.where(piece == 0, first[text], capacity)
+
+
+def ranked(lengths: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Of each length, how many equal ones came before; seen counts those of earlier calls and is brought up to date."""
+    order = np.argsort(lengths, kind="stable")
+    counts = np.bincount(lengths, minlength=len(seen))
+    out = np.empty(len(lengths), "i8")
+    out[order] = np.arange(len(lengths)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(seen, counts)
+    seen += counts
+    return out
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every text, with its task (block) and its rank there among pieces of its length (nth)."""
-    end = np.array([end_id], "<u4").tobytes()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others(encoders=False)
         enc = tokenizer_encoder(tokenizer, "spaced", CACHE_CHUNKS)
-        block, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
+        block, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, "i8")
         for b in batches:
-            rows: list[tuple] = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), enc.ids(b.column(1).to_pylist()), strict=True):
-                ids += end
-                n = len(ids) // 4
-                at, first = 0, n % capacity or capacity
-                view = memoryview(ids)
-                k = 0
-                while at < n:
-                    size = first if k == 0 else capacity
-                    rows.append((doc_id, k, at, size, zlib.crc32(view[4 * at : 4 * (at + size)]), block, seen[size]))
-                    seen[size] += 1
-                    at, k = at + size, k + 1
-            cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+            at = 0
+            for ids, ends in enc.columns(b.column(1)):
+                own = b.column(0).slice(at, len(ends))
+                at += len(ends)
+                ids, ends = ended(ids, ends, end_id)
+                text, piece, start, length = cut(ends, capacity)
+                first = 4 * (start + (ends - np.diff(ends, prepend=0))[text])
+                view = memoryview(ids.tobytes())
+                crc = [zlib.crc32(view[i:j]) for i, j in zip(first.tolist(), (first + 4 * length).tolist(), strict=True)]
+                cols = (own.take(pa.array(text)), piece, start, length, crc, np.full(len(text), block), ranked(length, seen))
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "block", "nth"]
     kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, block long, nth long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, block long, nth long")
 
 
 @dataclass
@@ -190,5 +207,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2)
             t = t.drop_columns(["rank"]).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
             yield from t.to_batches()
 
-    ranked = held.join(starts.select("length", "block", "base"), ["length", "block"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    slotted = held.join(starts.select("length", "block", "base"), ["length", "block"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
+    return slotted.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
