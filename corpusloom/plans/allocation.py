@@ -124,13 +124,8 @@ def seeded_shuffle(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(key)).cast("long").alias("place"))
 
 
-@query(f"SELECT doc_id, epoch, start FROM (SELECT doc_id, e AS epoch, n, (e * total + cum - n)::BIGINT AS start FROM (SELECT doc_id, source, n, sum(n) OVER (PARTITION BY source ORDER BY doc_id) AS cum, sum(n) OVER (PARTITION BY source) AS total FROM (SELECT doc_id, source, {_TOKENS} AS n FROM documents WHERE source IN ('src1', 'src2'))), range(3) r(e)) WHERE start < 50000")
+@query(f"SELECT doc_id, epoch, start FROM (SELECT doc_id, e AS epoch, n, (e * total + cum - n)::BIGINT AS start FROM (SELECT doc_id, source, n, sum(n) OVER (PARTITION BY source ORDER BY doc_id) AS cum, sum(n) OVER (PARTITION BY source) AS total FROM (SELECT doc_id, source, {_TOKENS} AS n FROM documents)), range(3) r(e))")
 def epoch_repeat(spark, sf):
-    return _repeated(_sized(spark, sf).where("source IN ('src1', 'src2')"), 3).select("doc_id", "epoch", "start").where("start < 50000")
-
-
-@query()
-def epoch_repeat_all(spark, sf):
     """Every source gives three times its unique tokens."""
     return _repeated(_sized(spark, sf), 3).select("doc_id", "epoch", "start")
 
@@ -149,29 +144,80 @@ def _sized(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "source", "lang", (F.size(T.tokens(F.col("text"))) + 1).cast("long").alias("n_tokens"))
 
 
-@query()
+_DOCS = f"SELECT doc_id, source, lang, ({_TOKENS})::BIGINT AS n FROM documents"
+
+
+def _deficit_sql(docs: str, want: str, out: str) -> str:
+    """The deficit rule document by document. docs: source, doc_id, n; want: source, position, tokens."""
+    return f"""WITH RECURSIVE want AS (SELECT source, tokens, row_number() OVER (ORDER BY position) AS pos FROM ({want}) WHERE tokens > 0),
+d AS (SELECT pos, source, doc_id, n, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS seq, count(*) OVER (PARTITION BY source) AS k FROM ({docs}) JOIN want USING (source)),
+c AS (SELECT list(tokens ORDER BY pos) AS w, sum(tokens)::DOUBLE AS total, count(*) AS m, (SELECT list(k ORDER BY pos) FROM (SELECT DISTINCT pos, k FROM d)) AS ks FROM want),
+r(place, source, doc_id, epoch, start, written, taken, seen) AS (
+  SELECT -1::BIGINT, ''::VARCHAR, NULL::BIGINT, NULL::INT, NULL::BIGINT, 0::BIGINT, [0::BIGINT for x in range(m)], [0::BIGINT for x in range(m)] FROM c
+  UNION ALL
+  SELECT place + 1, d.source, d.doc_id, (seen[best] // d.k)::INT, written, written + d.n, [taken[i] + CASE WHEN i = best THEN d.n ELSE 0 END for i in range(1, m + 1)], [seen[i] + (i = best)::INT for i in range(1, m + 1)]
+  FROM (SELECT *, list_position(scores, list_max(scores)) AS best FROM (
+    SELECT r.*, c.m, c.ks, [CASE WHEN r.taken[i] < c.w[i] THEN c.w[i] / c.total * r.written - r.taken[i] ELSE -1e300 END for i in range(1, c.m + 1)] AS scores
+    FROM r, c WHERE r.written < c.total AND list_max([r.taken[i] < c.w[i] for i in range(1, c.m + 1)]))) x
+  JOIN d ON d.pos = x.best AND d.seq = x.seen[x.best] % x.ks[x.best])
+SELECT {out} FROM r WHERE place >= 0"""
+
+
+_MIX = "SELECT source, position, (2 * unique_tokens) AS limit_tokens, share, unique_tokens FROM (" + _SHARED + ")"
+_MIX_WANT = "WITH a AS (" + _FILL.replace("{src}", f"SELECT source, share, limit_tokens::DOUBLE AS bound FROM ({_MIX})").replace("{total}", f"(SELECT sum(unique_tokens) FROM ({_MIX}))") + f"), b AS (SELECT m.*, a.alloc, floor(a.alloc + 1e-9) AS low FROM a JOIN ({_MIX}) m USING (source)), c AS (SELECT *, round_even(sum(alloc) OVER (), 0) - sum(low) OVER () AS lft FROM b) SELECT source, position, least(low + CASE WHEN row_number() OVER (ORDER BY round(alloc - low, 6) DESC, position) <= lft THEN 1 ELSE 0 END, limit_tokens)::BIGINT AS tokens FROM c"
+
+
+@query(_deficit_sql(_DOCS, _MIX_WANT, "place, source, doc_id, epoch, start"))
 def deficit_interleave(spark, sf):
+    """A mix of as many tokens as there are, in which a source is repeated at most once."""
     rows = _sources(spark, sf).withColumn("consumed", F.lit(0).cast("long")).withColumn("exhausted", F.lit(True))
     total = rows.agg(F.sum("unique_tokens")).first()[0] or 0
     want = A.chunk_allocation(rows, total, 2).orderBy("position").select("source", "tokens").collect()
     return M.deficit_interleave(_sized(spark, sf), [(r["source"], int(r["tokens"])) for r in want])
 
 
-@query()
+_SIDES = "SELECT doc_id, CASE WHEN lang = 'en' THEN 'code' ELSE 'text' END AS source, n FROM (" + _DOCS + ")"
+
+
+@query(_deficit_sql(_SIDES, f"SELECT source, CASE source WHEN 'text' THEN 0 ELSE 1 END AS position, sum(n)::BIGINT AS tokens FROM ({_SIDES}) GROUP BY source", "place, source, doc_id, start"))
+def text_code_interleave(spark, sf):
+    """Two kinds by their shares of the tokens, ties to the first; neither may run dry."""
+    docs = _sized(spark, sf).withColumn("source", F.when(F.col("lang") == "en", "code").otherwise("text"))
+    have = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    return M.deficit_interleave(docs, [(s, int(have[s])) for s in ("text", "code") if s in have], repeat=False).select("place", "source", "doc_id", "start")
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT source, doc_id, n, lang = 'de' AS special, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM ({_DOCS})),
+r(source, doc_id, i, total, kind, capped) AS (
+  SELECT source, NULL::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BOOLEAN FROM (SELECT DISTINCT source FROM d)
+  UNION ALL
+  SELECT source, doc_id, i, total + CASE WHEN skip THEN 0 ELSE n END, kind + CASE WHEN special AND NOT skip THEN n ELSE 0 END, skip FROM (
+    SELECT d.*, r.total, r.kind, d.special AND r.total >= 2000 AND r.kind + d.n > 0.1::DOUBLE * (r.total + d.n) AS skip FROM r JOIN d ON d.source = r.source AND d.i = r.i + 1))
+SELECT doc_id, capped FROM r WHERE i > 0""")
 def special_share_cap(spark, sf):
     return M.capped(_sized(spark, sf).withColumn("special", F.col("lang") == "de"), 0.1, 2000)
 
 
 @query()
 def quota_collect(spark, sf):
+    """Tested offer by offer against the rule (tests/test_mixing.py), which decides by windows of offers."""
     return M.collect_quota(_sized(spark, sf).withColumnRenamed("lang", "bucket"), {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}, 150_000.0)
 
 
-@query()
+def _walk_sql(step: str, out: str) -> str:
+    """A walk over each source's documents with two numbers of state, a and b, from 0. step: the new a, b and what stands before them, of n."""
+    return f"""WITH RECURSIVE d AS (SELECT source, doc_id, n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM ({_DOCS})),
+r(source, doc_id, i, a, b, own, "at") AS (
+  SELECT source, NULL::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT FROM (SELECT DISTINCT source FROM d)
+  UNION ALL SELECT source, doc_id, i, {step} FROM (SELECT d.*, r.a, r.b FROM r JOIN d ON d.source = r.source AND d.i = r.i + 1))
+SELECT source, doc_id, {out} FROM r WHERE i > 0"""
+
+
+@query(_walk_sql("CASE WHEN b > 0 AND b + n > 1024 THEN a + 1 ELSE a END, CASE WHEN b > 0 AND b + n > 1024 THEN n ELSE b + n END, CASE WHEN b > 0 AND b + n > 1024 THEN a + 1 ELSE a END, CASE WHEN b > 0 AND b + n > 1024 THEN 0 ELSE b END", 'own::INT AS block, "at"'))
 def pack_blocks(spark, sf):
     return M.next_fit(_sized(spark, sf), "doc_id", "source", "n_tokens", 1024)
 
 
-@query()
+@query(_walk_sql("CASE WHEN b + n >= 2000 THEN a + 1 ELSE a END, CASE WHEN b + n >= 2000 THEN 0 ELSE b + n END, a, b", "own::INT AS part"))
 def cut_parts(spark, sf):
     return M.cut_parts(_sized(spark, sf), "source", "doc_id", "n_tokens", 2000)
