@@ -13,12 +13,12 @@ def best_paths(nodes: DataFrame, roots: DataFrame, max_depth: int = 1000) -> Dat
     """
     spark = nodes.sparkSession
     best = nodes.groupBy("parent").agg(F.min(F.struct("rank", "id"))["id"].alias("id"))
-    best.createOrReplaceTempView("_best_child")
-    roots.createOrReplaceTempView("_path_roots")
     return spark.sql(
-        f"""WITH RECURSIVE path(root, depth, id) MAX RECURSION LEVEL {max_depth} AS (
-            SELECT root, 0, root FROM _path_roots
+        """WITH RECURSIVE path(root, depth, id) MAX RECURSION LEVEL """ + str(int(max_depth)) + """ AS (
+            SELECT root, 0, root FROM {roots}
             UNION ALL
-            SELECT path.root, path.depth + 1, b.id FROM path JOIN _best_child b ON b.parent = path.id)
-        SELECT root, depth, id FROM path"""
+            SELECT path.root, path.depth + 1, b.id FROM path JOIN {best} b ON b.parent = path.id)
+        SELECT root, depth, id FROM path""",
+        roots=roots,
+        best=best,
     )

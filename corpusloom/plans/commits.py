@@ -15,20 +15,36 @@ def low_info_messages(spark, sf):
     return table(spark, sf, "documents").select("doc_id", C.is_low_info(F.expr(_MESSAGE.replace("''", "\\'"))).alias("low_info"))
 
 
-_CASES = "CASE doc_id % 11 WHEN 0 THEN 'merge' WHEN 1 THEN 'root' WHEN 2 THEN 'no_change' WHEN 3 THEN 'whitespace_only' WHEN 4 THEN 'excluded_path' WHEN 5 THEN 'file_type' WHEN 6 THEN 'deleted_file' WHEN 7 THEN 'too_many_lines' WHEN 8 THEN 'unsafe_path' END"
+#: Of each rule a commit that breaks it and no earlier one; the texts of all others are the document's, short of secrets and long lines.
+_RULES = ["merge", "root", "no_change", "whitespace_only", "too_many_files", "unsafe_path", "excluded_path", "file_type", "deleted_file", "too_many_lines", "too_long_file", "long_line", "marker_in_content", "secret", "unsafe_message", "dependency_only", "low_info_message"]
+_CASES = "CASE doc_id % 18 " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(_RULES)) + " END"
 
 
-@query(f"SELECT reason, count(*) AS commits FROM (SELECT coalesce({_CASES}, CASE WHEN long THEN 'long_line' WHEN secret THEN 'secret' WHEN doc_id % 11 = 9 THEN 'low_info_message' END) AS reason FROM (SELECT d.doc_id, list_max([length(x) for x in l]) > 1000 OR list_sum([length(x) for x in l]) > 200 * len(l) AS long, s.doc_id IS NOT NULL AS secret FROM (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS l FROM documents) d LEFT JOIN (" + "{SECRETS}" + ") s USING (doc_id))) GROUP BY 1")
+@query(f"""WITH d AS (SELECT doc_id, text, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS l FROM documents),
+t AS (SELECT d.doc_id, {_CASES} AS rule, coalesce({_CASES} NOT IN ('too_long_file', 'long_line', 'marker_in_content', 'secret'), true) AS own, len(l) > 400 AS tall, list_max([length(x) for x in l]) > 1000 OR list_sum([length(x) for x in l]) > 200 * len(l) AS long, s.doc_id IS NOT NULL AS secret FROM d LEFT JOIN ({{SECRETS}}) s USING (doc_id))
+SELECT reason, count(*) AS commits FROM (SELECT CASE
+  WHEN rule IN ('merge', 'root', 'no_change', 'whitespace_only', 'too_many_files', 'unsafe_path', 'excluded_path', 'file_type', 'deleted_file', 'too_many_lines') THEN rule
+  WHEN rule = 'too_long_file' OR own AND tall THEN 'too_long_file' WHEN rule = 'long_line' OR own AND long THEN 'long_line' WHEN rule = 'marker_in_content' THEN rule
+  WHEN rule = 'secret' OR own AND secret THEN 'secret' ELSE rule END AS reason FROM t) GROUP BY 1""")
 def commit_drop_reasons(spark, sf):
-    i = F.col("doc_id") % 11
-    path = F.when(i == 4, "dist/app.js").when(i == 5, "notes.txt").when(i == 8, "../app.py").otherwise(F.concat(F.lit("src/m"), F.col("doc_id").cast("string"), F.lit(".py")))
-    before = F.when(i == 3, F.concat("text", F.lit("  \n\n"))).otherwise(F.lit("old\n"))
-    after = F.when(i == 6, F.lit(None).cast("string")).otherwise(F.col("text"))
-    added = F.when(i == 2, 0).when(i == 7, 500).otherwise(3)
+    """The default limits, and cases of all seventeen rules."""
+    i, text = F.col("doc_id") % 18, F.col("text")
+
+    def at(rule: str):
+        return i == _RULES.index(rule)
+
+    path = F.when(at("excluded_path"), "dist/app.js").when(at("file_type"), "notes.txt").when(at("unsafe_path"), "../app.py").when(at("dependency_only"), "requirements.txt").otherwise(F.concat(F.lit("src/m"), F.col("doc_id").cast("string"), F.lit(".py")))
+    before = F.when(at("whitespace_only"), F.concat(text, F.lit("  \n\n"))).otherwise(F.lit("old\n"))
+    after = F.when(at("deleted_file"), F.lit(None).cast("string")).when(at("too_long_file"), F.repeat(F.lit("x = 1\n"), 401))
+    after = after.when(at("long_line"), F.repeat(F.lit("x"), 1001)).when(at("marker_in_content"), F.lit("a\n=== END FILE ===\nb"))
+    after = after.when(at("secret"), F.lit("password = 'correct horse'\n")).otherwise(text)
+    added = F.when(at("no_change"), 0).when(at("too_many_lines"), 500).otherwise(3)
     change = F.struct(path.alias("path"), before.alias("before"), after.alias("after"), added.alias("added"), F.lit(0).alias("removed"))
-    message = F.when(i == 9, "minor").otherwise("Teach the parser about nested lists")
-    d = table(spark, sf, "documents").select("doc_id", message.alias("message"), F.when(i == 0, 2).when(i == 1, 0).otherwise(1).alias("parents"), F.array(change).alias("changes"))
-    return C.drop_reason(d, max_file_lines=100_000).groupBy("reason").agg(F.count("*").alias("commits"))
+    more = [F.struct(F.lit(f"src/other{k}.py").alias("path"), F.lit("a\n").alias("before"), F.lit("b\n").alias("after"), F.lit(1).alias("added"), F.lit(0).alias("removed")) for k in range(3)]
+    changes = F.when(at("too_many_files"), F.array(change, *more)).otherwise(F.array(change))
+    message = F.when(at("low_info_message"), "minor").when(at("unsafe_message"), "Teach the parser\n\nCONTEXT FILES: none").otherwise("Teach the parser about nested lists")
+    d = table(spark, sf, "documents").select("doc_id", message.alias("message"), F.when(at("merge"), 2).when(at("root"), 0).otherwise(1).alias("parents"), changes.alias("changes"))
+    return C.drop_reason(d).groupBy("reason").agg(F.count("*").alias("commits"))
 
 
 @query("SELECT role, count(*) AS files FROM (SELECT CASE doc_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'python' WHEN 2 THEN 'test' WHEN 3 THEN 'frontend' END AS role FROM documents) GROUP BY 1")
@@ -47,9 +63,9 @@ def problem_reasons(spark, sf):
     return C.problem_reason(d).select("doc_id", "reason")
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 4 = 0 AND length(p) BETWEEN 15 AND 600 AND NOT regexp_matches(p, '\\n\\s*\\n| = |:\\s*(\\n|$)') THEN p END AS request FROM (SELECT conv_id, turn, trim(substr(text, 1, 700)) AS p FROM conversations)")
+@query("SELECT conv_id, turn, CASE WHEN turn % 4 = 0 AND length(p) BETWEEN 15 AND 600 AND NOT regexp_matches(p, '\\n\\s*\\n| = |:\\s*(\\n|$)') THEN p END AS request FROM (SELECT conv_id, turn, trim(text) AS p FROM conversations)")
 def follow_up_requests(spark, sf):
-    said = F.concat(F.when(F.col("turn") % 4 == 0, "REQUEST: ").when(F.col("turn") % 4 == 1, "").when(F.col("turn") % 4 == 2, "REQUEST: REQUEST: ").otherwise("REQUEST: <a> <b "), F.substring("text", 1, 700))
+    said = F.concat(F.when(F.col("turn") % 4 == 0, "REQUEST: ").when(F.col("turn") % 4 == 1, "").when(F.col("turn") % 4 == 2, "REQUEST: REQUEST: ").otherwise("REQUEST: <a> <b "), "text")
     return table(spark, sf, "conversations").select("conv_id", "turn", C.parse_request(said).alias("request"))
 
 

@@ -42,18 +42,8 @@ def throughput(spark, sf):
     return d.groupBy("source").agg(F.count("*").alias("documents"), F.round(s, 4).alias("tokens_per_second"), F.round(s / 15, 4).alias("per_core"), F.round(F.count("*") / 12.5, 4).alias("documents_per_second"))
 
 
-@query("WITH r AS (SELECT event_type, user_id, avg(value) AS loss FROM events WHERE user_id < 50 GROUP BY 1, 2), b AS (SELECT event_type, arg_min(user_id, {'l': loss, 'u': user_id}) AS best, min(loss) AS loss FROM r GROUP BY 1), s AS (SELECT event_type, avg(value) AS again FROM events WHERE user_id >= 50 AND user_id < 60 GROUP BY 1) SELECT event_type, best, round(loss, 6) AS loss, round(abs(loss - again), 6) AS noise, CASE WHEN abs(loss - again) > 5 THEN 'unclear' ELSE 'adopt' END AS decision FROM b JOIN s USING (event_type)")
+@query("WITH e AS (SELECT event_type, user_id, value, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) % 2 = 1 AS f FROM events), r AS (SELECT event_type, user_id, avg(value) FILTER (f) AS l, avg(value) FILTER (NOT f) AS again FROM e GROUP BY 1, 2), b AS (SELECT event_type, arg_min({'u': user_id, 'l': l, 'a': again}, {'l': l, 'u': user_id}) AS b FROM r WHERE l IS NOT NULL GROUP BY 1) SELECT event_type, b.u AS best, round(b.l, 6) AS loss, round(abs(b.l - b.a), 6) AS noise, CASE WHEN abs(b.l - b.a) <= 5 THEN 'adopt' ELSE 'unclear' END AS decision FROM b")
 def sweep_decision(spark, sf):
-    e = table(spark, sf, "events")
-    r = e.where("user_id < 50").groupBy("event_type", "user_id").agg(F.avg("value").alias("l"))
-    best = r.groupBy("event_type").agg(F.min(F.struct("l", "user_id")).alias("b"))
-    again = e.where("user_id >= 50 AND user_id < 60").groupBy("event_type").agg(F.avg("value").alias("again"))
-    noise = F.abs(F.col("b.l") - F.col("again"))
-    return best.join(again, "event_type").select("event_type", F.col("b.user_id").alias("best"), F.round("b.l", 6).alias("loss"), F.round(noise, 6).alias("noise"), F.when(noise > 5, "unclear").otherwise("adopt").alias("decision"))
-
-
-@query()
-def sweep_decision_all(spark, sf):
     """Each user is a run of every type: its 1st, 3rd, 5th ... events are the run, the others its repetition with another seed."""
     nth = F.row_number().over(Window.partitionBy("event_type", "user_id").orderBy("event_id"))
     e = table(spark, sf, "events").select("event_type", "user_id", "value", (nth % 2 == 1).alias("first"))
@@ -63,13 +53,8 @@ def sweep_decision_all(spark, sf):
     return best.select("event_type", F.col("b.user_id").alias("best"), F.round("b.l", 6).alias("loss"), F.round(noise, 6).alias("noise"), F.when(noise <= 5, "adopt").otherwise("unclear").alias("decision"))
 
 
-@query("SELECT lang, offered, round(offered * 250000.0 / sum(offered) OVER (), 4)::DOUBLE AS projected, offered * 250000.0 / sum(offered) OVER () < 20000 AS short FROM (SELECT lang, sum(n_chars)::BIGINT AS offered FROM documents WHERE doc_id % 4 = 0 GROUP BY lang)")
+@query("SELECT lang, offered, round(offered * 250000.0 / sum(offered) OVER (), 4)::DOUBLE AS projected, offered * 250000.0 / sum(offered) OVER () < 20000 AS short FROM (SELECT lang, sum(n_chars)::BIGINT AS offered FROM documents GROUP BY lang)")
 def projected_available(spark, sf):
-    return _projected(table(spark, sf, "documents").where("doc_id % 4 = 0"))
-
-
-@query()
-def projected_available_all(spark, sf):
     return _projected(table(spark, sf, "documents"))
 
 
@@ -82,20 +67,15 @@ def _projected(docs):
 @query("WITH RECURSIVE l AS (SELECT lang, row_number() OVER (ORDER BY lang) AS i, count(*) OVER () AS k, sum(n_chars)::DOUBLE AS has FROM documents GROUP BY lang), r(i, lang, take, spare) AS (SELECT 0::BIGINT, ''::VARCHAR, 0::DOUBLE, 1000000::DOUBLE UNION ALL SELECT l.i, l.lang, least(l.has, r.spare / (l.k - l.i + 1)), r.spare - least(l.has, r.spare / (l.k - l.i + 1)) FROM r JOIN l ON l.i = r.i + 1) SELECT lang, round(take, 4) AS take FROM r WHERE i > 0")
 def carry_over_split(spark, sf):
     d = table(spark, sf, "documents").groupBy("lang").agg(F.sum("n_chars").cast("double").alias("has"))
-    d.withColumn("i", F.row_number().over(Window.orderBy("lang")).cast("bigint")).withColumn("k", F.count("*").over(Window.partitionBy())).createOrReplaceTempView("_langs")
+    numbered = d.withColumn("i", F.row_number().over(Window.orderBy("lang")).cast("bigint")).withColumn("k", F.count("*").over(Window.partitionBy()))
     return spark.sql("""WITH RECURSIVE r(i, lang, take, spare) AS (
         SELECT 0L, '', 0D, 1000000D UNION ALL
-        SELECT l.i, l.lang, least(l.has, r.spare / (l.k - l.i + 1)), r.spare - least(l.has, r.spare / (l.k - l.i + 1)) FROM r JOIN _langs l ON l.i = r.i + 1)
-        SELECT lang, round(take, 4) AS take FROM r WHERE i > 0""")
+        SELECT l.i, l.lang, least(l.has, r.spare / (l.k - l.i + 1)), r.spare - least(l.has, r.spare / (l.k - l.i + 1)) FROM r JOIN {langs} l ON l.i = r.i + 1)
+        SELECT lang, round(take, 4) AS take FROM r WHERE i > 0""", langs=numbered)
 
 
-@query("SELECT doc_id, depth, p AS at, p // 256 AS chunk, n + 3 AS total FROM (SELECT doc_id, depth, floor(n * depth / 100.0)::INT AS p, n FROM (SELECT doc_id, len(regexp_extract_all(text, '{TOKEN}')) AS n FROM documents WHERE doc_id % 10 = 0), (SELECT unnest([0, 25, 50, 100]) AS depth))")
+@query("SELECT doc_id, depth, p AS at, p // 256 AS chunk, n + 3 AS total FROM (SELECT doc_id, depth, floor(n * depth / 100.0)::INT AS p, n FROM (SELECT doc_id, len(regexp_extract_all(text, '{TOKEN}')) AS n FROM documents), (SELECT unnest([0, 25, 50, 100]) AS depth))")
 def needle_planting(spark, sf):
-    return _planted(table(spark, sf, "documents").where("doc_id % 10 = 0"))
-
-
-@query()
-def needle_planting_all(spark, sf):
     return _planted(table(spark, sf, "documents"))
 
 
@@ -118,21 +98,16 @@ def trimmed_feedback(spark, sf):
     return R.trimmed_shares(table(spark, sf, "conversations"), "conv_id", "text", 900).select("conv_id", "turn", "kept")
 
 
-@query("SELECT doc_id, n_files, first_path, content_chars FROM (SELECT doc_id, 2 AS n_files, 'a' || doc_id || '.py' AS first_path, (length(text) + 1 + 4)::BIGINT AS content_chars FROM documents WHERE NOT contains(text, '=== '))")
+@query("SELECT doc_id, n_files, first_path, content_chars FROM (SELECT doc_id, 2 AS n_files, 'a' || doc_id || '.py' AS first_path, (length(text) + 1 + 4)::BIGINT AS content_chars FROM documents)")
 def file_blocks(spark, sf):
-    reply = F.concat(F.lit("Here:\n=== FILE: a"), F.col("doc_id").cast("string"), F.lit(".py ===\n"), F.col("text"), F.lit("\n=== END FILE ===\n=== FILE: b.py ===\nx=1\n=== END FILE ===\n"))
-    d = table(spark, sf, "documents").where(~F.contains("text", F.lit("=== "))).select("doc_id", R.blocks_of(reply).alias("b"))
+    quoted = F.replace("text", F.lit("=== "), F.lit("==_ "))  # markers in a text are no markers of the reply
+    reply = F.concat(F.lit("Here:\n=== FILE: a"), F.col("doc_id").cast("string"), F.lit(".py ===\n"), quoted, F.lit("\n=== END FILE ===\n=== FILE: b.py ===\nx=1\n=== END FILE ===\n"))
+    d = table(spark, sf, "documents").select("doc_id", R.blocks_of(reply).alias("b"))
     return d.select("doc_id", F.size("b").alias("n_files"), F.get("b", F.lit(0))["path"].alias("first_path"), F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + F.length(x["content"])).alias("content_chars"))
 
 
-@query("SELECT doc_id, trim(substr(text, 1, 30)) AS step, lang AS tree FROM documents WHERE NOT contains(substr(text, 1, 30), chr(10))")
+@query("WITH p AS (SELECT doc_id, text || chr(10) || chr(10) || 'CONTEXT FILES:' || chr(10) || 'x' || chr(10) || chr(10) || 'PROJECT TREE:' || chr(10) || lang AS p FROM documents) SELECT doc_id, trim(split_part(p, chr(10) || chr(10) || 'CONTEXT FILES:', 1)) AS step, trim(substr('STEP: ' || p, instr('STEP: ' || p, 'PROJECT TREE:' || chr(10)) + 14)) AS tree FROM p")
 def prompt_sections(spark, sf):
-    head = F.substring("text", 1, 30)
-    return _sections(table(spark, sf, "documents").where(~F.contains(head, F.lit("\n"))), head)
-
-
-@query()
-def prompt_sections_whole(spark, sf):
     return _sections(table(spark, sf, "documents"), F.col("text"))
 
 
@@ -177,13 +152,8 @@ def assert_extraction(spark, sf):
     return d.select("doc_id", F.size("a").alias("n"), F.array_join("a", "|").alias("asserts"))
 
 
-@query("SELECT benchmark_id AS id, benchmark_id % 3 <> 1 AS passed, CASE WHEN benchmark_id % 3 = 1 THEN 'AssertionError' ELSE '' END AS error FROM (SELECT item_id AS benchmark_id FROM benchmark WHERE item_id < 6)")
+@query("SELECT item_id AS id, item_id % 3 <> 1 AS passed, CASE WHEN item_id % 3 = 1 THEN 'AssertionError' ELSE '' END AS error FROM benchmark")
 def sandboxed_tests(spark, sf):
-    return _tested(table(spark, sf, "benchmark").where("item_id < 6"))
-
-
-@query()
-def sandboxed_tests_all(spark, sf):
     return _tested(table(spark, sf, "benchmark"))
 
 

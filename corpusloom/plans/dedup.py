@@ -31,14 +31,8 @@ def cross_split_clean(spark, sf):
     return d.where("doc_id % 10 = 3").join(d.where("doc_id % 10 <> 3").select("h"), "h", "left_anti").select("doc_id")
 
 
-@query("SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY sha ORDER BY doc_id) > 1 THEN 'sha' WHEN row_number() OVER (PARTITION BY reply ORDER BY doc_id) > 1 THEN 'reply' ELSE 'kept' END AS status FROM (SELECT doc_id, sha256(text) AS sha, sha256(lower(substr(text, 1, 40))) AS reply FROM documents)")
+@query("SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY sha ORDER BY doc_id) > 1 THEN 'sha' WHEN row_number() OVER (PARTITION BY reply ORDER BY doc_id) > 1 THEN 'reply' ELSE 'kept' END AS status FROM (SELECT doc_id, sha256(text) AS sha, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS reply FROM documents)")
 def two_key_dedup(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.sha2(F.lower(F.substring("text", 1, 40)), 256).alias("reply"))
-    return D.two_key_dedup(d, "sha", "reply", ["doc_id"]).select("doc_id", "status")
-
-
-@query()
-def two_key_dedup_whole(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.sha2(F.lower(T.collapse(F.col("text"))), 256).alias("reply"))
     return D.two_key_dedup(d, "sha", "reply", ["doc_id"]).select("doc_id", "status")
 

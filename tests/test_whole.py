@@ -29,7 +29,7 @@ def test_needles_are_planted_in_every_document(spark, documents):
         for depth in (0, 25, 50, 100) if text is not None else ():
             at = len(tokens(text)) * depth // 100
             want.add((doc_id, depth, at, at // 256, len(tokens(text)) + 3))
-    got = [tuple(r) for r in QUERIES["needle_planting_all"](spark, sf).where("total IS NOT NULL AND at IS NOT NULL").collect()]
+    got = [tuple(r) for r in QUERIES["needle_planting"](spark, sf).where("total IS NOT NULL AND at IS NOT NULL").collect()]
     assert len(got) == len(want) and set(got) == want
 
 
@@ -40,7 +40,7 @@ def test_every_document_is_offered(spark, documents):
         offered[lang] = offered.get(lang, 0) + n
     total = sum(offered.values())
     want = {lang: (n, round(n * 250000 / total, 4), n * 250000 / total < 20000) for lang, n in offered.items()}
-    got = {r.lang: (r.offered, float(r.projected), r.short) for r in QUERIES["projected_available_all"](spark, sf).collect()}
+    got = {r.lang: (r.offered, float(r.projected), r.short) for r in QUERIES["projected_available"](spark, sf).collect()}
     assert got == want and "only_odd" in got
 
 
@@ -48,7 +48,7 @@ def test_texts_that_differ_late_are_no_duplicates(spark, tmp_path):
     same = "The same forty characters stand at the start of "
     texts = [same + "one", same + "two", "THE  same forty characters stand at the start of\none ", same + "one", "a\nline", "A line", "b"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.status for r in QUERIES["two_key_dedup_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.status for r in QUERIES["two_key_dedup"](spark, str(tmp_path)).collect()}
     assert got == {0: "kept", 1: "kept", 2: "reply", 3: "sha", 4: "kept", 5: "reply", 6: "kept"}
 
 
@@ -56,20 +56,20 @@ def test_prompts_hold_whole_texts_of_every_document(spark, tmp_path):
     texts = ["short", "a\nb", " a text of far more than thirty characters\n\nin two parts ", "", "PROJECT TREE: x"]
     rows = [(i, t, f"l{i}") for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.step, r.tree) for r in QUERIES["prompt_sections_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.step, r.tree) for r in QUERIES["prompt_sections"](spark, str(tmp_path)).collect()}
     assert got == {i: (t.strip(" "), lang) for i, t, lang in rows}
 
 
 def test_every_benchmark_row_is_run(spark, tmp_path):
     spark.createDataFrame([(i, "x") for i in (0, 1, 2, 7, 10, 300)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r.id: (r.passed, r.error) for r in QUERIES["sandboxed_tests_all"](spark, str(tmp_path)).collect()}
+    got = {r.id: (r.passed, r.error) for r in QUERIES["sandboxed_tests"](spark, str(tmp_path)).collect()}
     assert got == {i: (False, "AssertionError") if i % 3 == 1 else (True, "") for i in (0, 1, 2, 7, 10, 300)}
 
 
 def test_the_best_run_is_found_among_all_users(spark, tmp_path):
     rows = [(1, 10, "a", 4.0), (2, 10, "a", 6.0), (3, 10, "a", 2.0), (4, 700, "a", 1.0), (5, 700, "a", 3.5), (6, 55, "a", 2.0), (7, 9, "b", 3.0), (8, 90, "b", 2.0), (9, 90, "b", 20.0), (10, 70, "c", 1.5), (11, 8, "c", 2.0), (12, 8, "c", 2.0)]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
-    got = {tuple(r) for r in QUERIES["sweep_decision_all"](spark, str(tmp_path)).select("event_type", "best", "loss", "noise", "decision").collect()}
+    got = {tuple(r) for r in QUERIES["sweep_decision"](spark, str(tmp_path)).select("event_type", "best", "loss", "noise", "decision").collect()}
     assert got == {("a", 700, 1.0, 2.5, "adopt"), ("b", 90, 2.0, 18.0, "unclear"), ("c", 70, 1.5, None, "unclear")}
 
 
@@ -90,7 +90,7 @@ def test_every_source_is_repeated(spark, tmp_path):
             for doc_id, n in own:
                 want.add((doc_id, epoch, start))
                 start += n
-    got = [tuple(r) for r in QUERIES["epoch_repeat_all"](spark, str(tmp_path)).select("doc_id", "epoch", "start").collect()]
+    got = [tuple(r) for r in QUERIES["epoch_repeat"](spark, str(tmp_path)).select("doc_id", "epoch", "start").collect()]
     assert len(got) == len(want) and set(got) == want
 
 
