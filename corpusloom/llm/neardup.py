@@ -14,8 +14,9 @@
    threshold shares no band, (1 - 0.85**6)**40 = 6e-9, or fails the signature, about 1e-8.
 5. Components by large-star and small-star.
 
-Null and empty texts have empty sets and are linked with nothing. Rows of equal doc_id are one vertex; rows with
-a null doc_id are kept, with a null component. Extra columns are ignored. An empty table gives no rows.
+Null and empty texts have empty sets and are linked with nothing. Rows of equal doc_id are one vertex, which has the links of
+all its texts and so one component, while n_shingles is that of each row's text; rows with a null doc_id are kept, with a
+null component. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ MARGIN = 5.64
 MISSED = 1e-8
 #: Unresolved buckets up to this size compare pair by pair, larger ones in blocks of about so many members.
 SMALL, BLOCK = 32, 256
+#: Common shingles whose columns are multiplied at once.
+COLUMNS = 8192
 #: Bytes of text that a worker shingles at once.
 SLICE = 1 << 21
 
@@ -274,12 +277,16 @@ def _block_links(percent: int) -> Callable[[pa.Table], pa.Table]:
         name = np.empty(len(every), "i8")
         name[order] = np.cumsum(new) - 1
         common = np.bincount(name) > 1  # a shingle of one member is in no intersection
-        place = np.cumsum(common) - 1
-        held = np.zeros((len(sets), max(1, int(common.sum()))), "f4")
-        use = common[name]
-        held[owner[use], place[name[use]]] = 1
+        place = (np.cumsum(common) - 1)[name]
+        use = order[common[name[order]]]  # the entries of common shingles, by shingle
         a, b = np.flatnonzero(ask), np.flatnonzero(~ask)
-        shared = (held[a] @ held[b].T).astype("i8")
+        shared = np.zeros((len(a), len(b)), "i8")
+        at = np.searchsorted(place[use], np.arange(0, int(common.sum()) + COLUMNS, COLUMNS))
+        for k in range(len(at) - 1):
+            own = use[at[k] : at[k + 1]]
+            held = np.zeros((len(sets), COLUMNS), "f4")
+            held[owner[own], place[own] - k * COLUMNS] = 1
+            shared += (held[a] @ held[b].T).astype("i8")
         union = sizes[a][:, None] + sizes[b][None] - shared
         x, y = np.nonzero((100 * shared >= percent * union) & (roots[a][:, None] != roots[b][None]))
         pairs = np.stack([roots[a][x], roots[b][y]], 1)
@@ -327,9 +334,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> D
     classes = Staged(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("cid")), "classes").df
     reps = Staged(known.join(classes.select(F.col("cid").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"]), "representatives").df
     roots = link_classes(docs, reps, percent, width)
+    # ids with several sets tie the classes of these sets together
+    names = F.struct("k1", "k2")
+    several = known.groupBy("doc_id").agg(F.min(names).alias("lo"), F.max(names).alias("hi")).where("lo <> hi").select("doc_id")
+    ties = Staged(known.join(several, "doc_id", "left_semi").join(classes, ["k1", "k2"]).select(F.col("doc_id").alias("u"), F.col("cid").alias("v")).where("u <> v").distinct(), "ties").df
+    if not ties.isEmpty():
+        roots = components(ties if roots is None else ties.unionByName(roots))
     if roots is not None:
         classes = Staged(classes.join(roots.select(F.col("u").alias("cid"), F.col("v").alias("root")), "cid", "left").select("k1", "k2", F.coalesce("root", "cid").alias("cid")), "classes").df
     same = known.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "n_shingles", F.col("cid").alias("component_id"))
-    alone = signed.where("NOT (doc_id IS NOT NULL AND n_shingles > 0)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    alone = signed.where("NOT (doc_id IS NOT NULL AND n_shingles > 0)").select("doc_id", "n_shingles")
+    other = same.join(alone.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "component_id").distinct()  # of ids with other texts
+    alone = alone.join(other, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     kept: Column = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
     return same.unionByName(alone).select("doc_id", "n_shingles", "component_id", kept)

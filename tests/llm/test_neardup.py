@@ -73,3 +73,19 @@ def test_nulls_and_empty_tables(spark, docs, no_docs):
     assert (None, 1, None, True) in got and (9, 0, 9, True) in got and (5, 9, 5, True) in got and (10, 9, 5, False) in got
     assert got.count((7, 1, 7, True)) == 2
     assert neardup.near_duplicates(no_docs).collect() == []
+
+
+def test_unlike_texts_under_one_id_are_one_vertex(spark):
+    x, y, z = ([f"{c}{i}" for i in range(60)] for c in "xyz")
+    near = lambda words, k: " ".join([*words[:k], "other", *words[k + 1 :]])
+    rows = [(1, " ".join(x)), (3, near(x, 59)), (2, " ".join(y)), (3, near(y, 59)), (5, " ".join(z)), (5, "short"), (6, " ".join(z)), (7, "Short"), (8, None), (8, near(z, 0)), (9, "alone"), (9, "alone again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()}
+    assert len(got) == len(rows) - 2  # the texts of 3, and those of 9, have sets of one size
+    want = {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 5, 8: 5, 9: 9}
+    assert {i: c for (i, _), (c, _) in got.items()} == want and all(k == (i == want[i]) for (i, _), (_, k) in got.items())
+
+
+def test_hot_bucket_in_blocks_of_columns(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "COLUMNS", 50)
+    test_equals_all_pairs_on_hot_groups(spark)
