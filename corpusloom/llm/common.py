@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import sys
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new path below the folder in spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (local tests) a temporary folder of this machine is used and set.
+    Where the setting is absent a temporary folder of this machine is used and set in local mode (tests); on a cluster
+    executors could not read it, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -35,6 +40,10 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Staged tables that were not dropped, by path.
+_HELD: dict[str, SparkSession] = {}
+
+
 class Staged:
     """A DataFrame written as Parquet to the shared folder, which cuts its lineage."""
 
@@ -42,11 +51,57 @@ class Staged:
         self.spark = df.sparkSession
         self.path = shared_dir(self.spark, what)
         schema = df.schema
+        _HELD[self.path] = self.spark
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path)
 
     def drop(self) -> None:
         drop_dir(self.spark, self.path)
+        _HELD.pop(self.path, None)
+
+
+def drop_staged(paths: Iterable[str] | None = None) -> None:
+    """Drop these staged tables, or all; what was read from them must have been written or used."""
+    for path in list(_HELD if paths is None else paths):
+        if (spark := _HELD.pop(path, None)) is not None:
+            drop_dir(spark, path)
+
+
+class _Kept(set):
+    def keep(self, table: Staged) -> None:
+        self.add(table.path)
+
+
+@contextmanager
+def staging() -> Iterator[_Kept]:
+    """Drops the staged tables made within but those to keep."""
+    kept = _Kept(_HELD)
+    try:
+        yield kept
+    finally:
+        drop_staged(set(_HELD) - kept)
+
+
+@atexit.register
+def _at_exit() -> None:
+    """Results may read their staged tables as long as the session lives; what is left goes with it."""
+    for path, spark in list(_HELD.items()):
+        if spark.sparkContext._jsc is not None:
+            drop_staged([path])
+
+
+def free(name: str, columns: Iterable[str]) -> str:
+    """name, with as many underscores after it as make it unlike all columns (case does not count)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def packed(df: DataFrame, columns: Iterable[str]) -> Column:
+    """These columns of df as one struct, so that names that are added beside it cannot clash with them."""
+    own = [F.col(f"`{c}`") for c in columns]
+    return F.struct(*own) if own else F.struct(F.lit(True).alias("none"))
 
 
 def forget_others(encoders: bool = True) -> None:

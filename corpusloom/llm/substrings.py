@@ -14,11 +14,14 @@ is removed. Strings are judged on the input and never cross documents.
 - Counts and first positions are pre-aggregated per task before they are shuffled, and repeated strings are
   joined back by sort-merge joins that Spark can split, so that a hot string gathers in no task.
 
-Windows are compared by 128 bits (two names of different strings that both are part of them), so unequal windows are
-taken for equal with a probability of 2**-128 a pair.
-
-Null texts count as empty. Rows of equal doc_id count as one place in the order; rows with a null doc_id are kept as they
-are and do not count for others. Extra columns are ignored. An empty table gives no rows.
+Windows are compared by two 64-bit names. Windows that are unlike in all their parts are taken for equal with a probability
+of 2**-128 a pair; both names are made from the same names of shorter strings, so for windows that differ in one short
+part only, which near copies have, it is 2**-64 a pair.
+
+Null texts count as empty. Rows of one doc_id with unlike texts are documents of their own, ordered by the SHA-256 of their
+texts; rows equal in both are one document, and all lose the same bytes. Rows with a null doc_id are kept as
+they are and do not count for others. Extra columns of any name are ignored or, by `remove`, kept. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -30,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Staged, forget_others, release
+from .common import Staged, forget_others, packed, release
 
 LENGTH = 100
 #: Windows in a row, by round.
@@ -187,33 +191,36 @@ def _per_doc(found: DataFrame, bits: int) -> DataFrame:
     return found.select(at.alias("base"), one.alias("one")).groupBy("base").agg(F.collect_list("one").alias("own"))
 
 
-def _placed(docs: DataFrame) -> tuple[DataFrame, int]:
-    """docs with _base (the place of a text's first byte in one order of all bytes) and the bits of the place within a document."""
-    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    lo, hi, longest = docs.agg(F.min(doc_id), F.max(doc_id), F.max(F.octet_length(text))).first()
+def _placed(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, int]:
+    """row (the columns to keep), text, base (the place of a text's first byte in one order of all bytes) and the bits of the place within a document."""
+    rows = docs.select(packed(docs, keep).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    code = F.xxhash64("text")
+    ids = rows.groupBy("id").agg(F.min(code).alias("lo"), F.max(code).alias("hi"), F.max(F.octet_length("text")).alias("size"))
+    lo, hi, longest, unlike = ids.agg(F.min("id"), F.max("id"), F.max("size"), F.max(F.expr("id IS NOT NULL AND lo <> hi"))).first()
     bits = max(1, int(longest or 0).bit_length())
-    if lo is None or (hi - lo).bit_length() + bits < 63:
-        return docs.withColumn("_base", F.shiftleft(doc_id - F.lit(lo or 0), bits)), bits
-    # ids too far apart: number them by their order
-    ids = docs.select(doc_id.alias("_id")).where("_id IS NOT NULL").distinct().sort("_id")
-    ids = Staged(ids.withColumn("m", F.monotonically_increasing_id()), "ids").df.withColumn("task", F.shiftright("m", 33))
-    counts = sorted((r["task"], r["k"]) for r in ids.groupBy("task").agg(F.count("*").alias("k")).collect())
+    if lo is None or ((hi - lo).bit_length() + bits < 63 and not unlike):
+        return rows.select("row", "text", F.shiftleft(F.col("id") - F.lit(lo or 0), bits).alias("base")), bits
+    # ids too far apart, or several texts under one id: number the documents by their order
+    rows = rows.withColumn("tie", F.sha2(F.coalesce("text", F.lit("")), 256))
+    keys = rows.select("id", "tie").where("id IS NOT NULL").distinct().sort("id", "tie")
+    keys = Staged(keys.withColumn("m", F.monotonically_increasing_id()), "ids").df.withColumn("task", F.shiftright("m", 33))
+    counts = sorted((r["task"], r["k"]) for r in keys.groupBy("task").agg(F.count("*").alias("k")).collect())  # a row a task of the sort
     at, bases = 0, []
     for task, k in counts:
         bases.append((task, at))
         at += k
     starts = docs.sparkSession.createDataFrame(bases, "task long, at long")
-    numbered = ids.join(starts, "task").select("_id", F.shiftleft(F.col("at") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1)), bits).alias("_base"))
-    return docs.join(numbered, doc_id == F.col("_id"), "left").drop("_id"), bits
+    numbered = keys.join(starts, "task").select("id", "tie", F.shiftleft(F.col("at") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1)), bits).alias("base"))
+    return rows.join(numbered, ["id", "tie"], "left").select("row", "text", "base"), bits
 
 
-def _apply(placed: DataFrame, repeats: DataFrame, bits: int, finish: Callable[[bytes, np.ndarray], tuple], schema: str) -> DataFrame:
-    """finish(text, kept bytes as a mask) of every document; schema: its columns, after those of placed but text and _base."""
+def _apply(placed: DataFrame, repeats: DataFrame, bits: int, finish: Callable[[bytes, np.ndarray], tuple], made: T.StructType) -> DataFrame:
+    """row and made (a struct of what finish(text, kept bytes as a mask) returns) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, own in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+            for text, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 cover = np.zeros(len(raw) + 1, "i4")
                 if own:
@@ -222,18 +229,17 @@ def _apply(placed: DataFrame, repeats: DataFrame, bits: int, finish: Callable[[b
                     np.add.at(cover, first + np.array([r["n"] for r in own]) - 1 + LENGTH, -1)
                 out.append(finish(raw, np.cumsum(cover[:-1]) == 0))
             if out:
-                yield pa.RecordBatch.from_arrays([*b.columns[:-2], *[pa.array(list(c)) for c in zip(*out, strict=True)]], [*b.schema.names[:-2], *names])
+                cols = [pa.array(list(c)) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.StructArray.from_arrays(cols, names)], ["row", "made"])
 
-    names = [x.split()[0] for x in schema.split(", ")]
-    kept = [f for f in placed.schema.fields if f.name not in ("text", "_base")]
-    own = _per_doc(repeats, bits).select(F.col("base").alias("_base"), F.col("own").alias("_own"))
-    joined = placed.join(own, "_base", "left").select(*[f"`{f.name}`" for f in kept], F.col("text").cast("string"), "_own")
-    return joined.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [schema]))
+    names = made.fieldNames()
+    joined = placed.join(_per_doc(repeats, bits), "base", "left").select("row", "text", "own")
+    return joined.mapInArrow(run, T.StructType([placed.schema["row"], T.StructField("made", made)]))
 
 
 def find_repeats(placed: DataFrame, bits: int) -> DataFrame:
     """pos, n: n neighbouring windows from place pos on that all start earlier too."""
-    known = placed.where("_base IS NOT NULL").select(F.col("_base").alias("base"), F.col("text").cast("string").alias("text"))
+    known = placed.where("base IS NOT NULL").select("base", "text")
     found: DataFrame | None = None
     unclear: Staged | None = None
     for k in range(len(ROUNDS)):
@@ -255,8 +261,10 @@ def digests(docs: DataFrame) -> DataFrame:
         gone = np.concatenate(([False], ~kept))
         return len(raw), len(raw) - len(rest), int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(rest).hexdigest()
 
-    placed, bits = _placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return _apply(placed, find_repeats(placed, bits), bits, finish, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    placed, bits = _placed(docs, ["doc_id"])
+    made = T.StructType().add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
+    found = _apply(placed, find_repeats(placed, bits), bits, finish, made)
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "made.*")
 
 
 def remove(docs: DataFrame) -> DataFrame:
@@ -265,5 +273,6 @@ def remove(docs: DataFrame) -> DataFrame:
     def finish(raw: bytes, kept: np.ndarray) -> tuple:
         return (np.frombuffer(raw, "u1")[kept].tobytes().decode("utf-8", "ignore"),)
 
-    placed, bits = _placed(docs)
-    return _apply(placed, find_repeats(placed, bits), bits, finish, "text string").select(*docs.columns)
+    placed, bits = _placed(docs, [c for c in docs.columns if c != "text"])
+    found = _apply(placed, find_repeats(placed, bits), bits, finish, T.StructType().add("text", "string"))
+    return found.select(*[F.col("made.text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

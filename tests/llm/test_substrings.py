@@ -7,19 +7,24 @@ from corpusloom.llm import substrings
 
 
 def brute(rows):
-    """Results by comparing every window with all earlier ones; rows with equal ids share their places."""
+    """Results by comparing every window with all earlier ones; documents come by id and the SHA-256 of their text."""
+
+    def place(doc_id, text):
+        return doc_id, hashlib.sha256((text or "").encode()).hexdigest()
+
     first = {}
-    for doc_id, text in sorted(rows, key=lambda r: r[0]):
+    for doc_id, text in rows:
         raw = (text or "").encode()
         for p in range(len(raw) - 99):
             w = raw[p : p + 100]
-            first[w] = min(first.get(w, (doc_id, p)), (doc_id, p))
+            here = (*place(doc_id, text), p)
+            first[w] = min(first.get(w, here), here)
     out = []
     for doc_id, text in rows:
         raw = (text or "").encode()
         gone = bytearray(len(raw))
         for p in range(len(raw) - 99):
-            if first[raw[p : p + 100]] < (doc_id, p):
+            if first[raw[p : p + 100]] < (*place(doc_id, text), p):
                 gone[p : p + 100] = b"\x01" * 100
         kept = bytes(b for b, g in zip(raw, gone) if not g)
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
@@ -60,6 +65,19 @@ def test_distant_ids_and_small_slices(spark, monkeypatch):
     check(spark, [((i - 30) * 2**57, t) for i, t in enumerate(rows)])
 
 
+def test_unlike_texts_under_one_id(spark):
+    rows = [(i // 3, t) for i, t in enumerate(some_rows(6))]
+    check(spark, rows + rows[:7])
+
+
+def test_clashing_columns_are_kept(spark):
+    rows = [(i // 2, t, i, -i, "a", "b", i) for i, t in enumerate(some_rows(7))]
+    names = ["_base", "base", "_own", "row", "made"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _base int, base int, _own string, row string, made int")
+    got = sorted(tuple(r) for r in substrings.remove(df).select("doc_id", *names).collect())
+    assert got == sorted((r[0], *r[2:]) for r in rows)
+
+
 @pytest.mark.parametrize("group", substrings.ROUNDS)
 def test_slices_do_not_matter(group, monkeypatch):
     import numpy as np
