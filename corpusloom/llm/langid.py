@@ -3,19 +3,25 @@
 A suffix automaton of each language's training text tells how far a text can be read before it leaves every
 substring of that text. Reading greedily cuts a text into phrases; a language costs its phrases times the bits that name
 a place in its training text, and the language of least cost wins. Texts are read whole, as lower-cased letters with
-one space between runs of them, in blocks of BLOCK characters that each start a phrase, many blocks at once.
+one space between runs of them. Blocks of BLOCK characters are read at once, each as if a phrase began there, and are
+read again from the state in which the block before ends until no state changes, so that phrases run on over
+the cuts and their number is that of reading the text from its first to its last character.
 
 The training texts are a bounded sample: of each language the documents with the smallest hashes of doc_id, at most
-TRAIN_DOCS, as many as fit in TRAIN_CHARS characters (the first is taken in any case, cut to that size). More text
-would only make the automata larger; everything is then predicted with them. Every letter of the training texts has a
-code of its own; beyond DENSE codes the moves are looked up in a sorted list, as a table of all would not fit.
+TRAIN_DOCS, as many as fit in TRAIN_CHARS characters (the first is taken in any case, cut to that size), or in an
+equal share of TRAIN_TOTAL where there are so many languages that theirs come to more. Only these texts reach the
+driver. More text would only make the automata larger; everything is then predicted with them. Every letter of the
+training texts has a code of its own; where a table of all moves would take more than DENSE_BYTES, they are looked up in
+a sorted list.
 
 Null texts and texts without a letter are `und` with score 0, as is everything where nothing could be learnt. Ties go to
-the first language in order. Rows are predicted each. Extra columns are ignored. An empty table gives no rows.
+the first language in order. Rows are predicted each. The prediction is one new column, so extra columns of any name are
+kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,13 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import forget_others
+from .common import forget_others, free, packed
 
-TRAIN_DOCS, TRAIN_CHARS = 200, 30_000
-BLOCK, LANES = 512, 4096
-#: Up to so many codes the moves are one table.
-DENSE = 253
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_TOTAL = 200, 30_000, 1_200_000
+#: Characters of a block, blocks read at once, and how often blocks are read again before the rest is read one by one.
+BLOCK, LANES, AGAIN = 512, 4096, 3
+#: Up to so many bytes the moves are one table.
+DENSE_BYTES = 96 << 20
 _FLAG = np.uint32(1 << 31)
 #: Codes of the alphabet: padding, letters never seen in training, the space; seen letters follow.
 PAD, UNSEEN, SPACE = 0, 1, 2
@@ -92,7 +100,7 @@ def automaton(text: list[int], alphabet: int) -> np.ndarray:
 class Model:
     """Languages, the code of every code point, one table of all automata, their starts, and the bits of a phrase.
 
-    Beyond DENSE codes the table has the moves that end no phrase, at the sorted state * width + code in keys, and
+    Beyond DENSE_BYTES the table has the moves that end no phrase, at the sorted state * width + code in keys, and
     restarts those that do, by language and code.
     """
 
@@ -124,7 +132,7 @@ def build(texts: dict[str, str]) -> Model:
     codes = {x: i + 3 for i, x in enumerate(seen)}
     model = Model(langs, codes, np.empty(0, "u4"), np.empty(0, "u4"), np.empty(0))
     table = model.code_table()
-    if model.width > DENSE:
+    if 8 * model.width * sum(map(len, read.values())) > DENSE_BYTES:  # an automaton has up to two states a character
         return _sparse(model, {lang: squeezed(table[read[lang]]).tolist() for lang in langs})
     tables, starts, bits, base = [], [], [], 0
     for lang in langs:
@@ -176,16 +184,15 @@ def squeezed(codes: np.ndarray) -> np.ndarray:
     return out[:-1] if len(out) and out[-1] == SPACE else out
 
 
-def phrases(model: Model, lanes: np.ndarray) -> np.ndarray:
-    """Phrase ends by language and lane. lanes: one block a row, padded."""
-    state = np.repeat(model.starts[:, None], len(lanes), 1)
+def phrases(model: Model, lanes: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrase ends and last states by language and lane. lanes: one block a row, padded; state: the first states."""
     ends = np.zeros(state.shape, "u4")
     width, table, low = np.uint32(model.width), model.table, ~_FLAG
     for column in np.ascontiguousarray(lanes.T):
         move = table.take(state * width + column) if model.keys is None else _looked_up(model, state, column)
         ends += move >> np.uint32(31)
         state = move & low
-    return ends
+    return ends, state
 
 
 def _looked_up(model: Model, state: np.ndarray, column: np.ndarray) -> np.ndarray:
@@ -195,6 +202,57 @@ def _looked_up(model: Model, state: np.ndarray, column: np.ndarray) -> np.ndarra
     return np.where(column == PAD, state, move)
 
 
+def read_on(model: Model, lanes: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Phrase ends by language and lane, where every lane but those that are new goes on in the state that the lane before ends in."""
+    first = np.repeat(model.starts[:, None], len(lanes), 1)
+    ends, last = np.empty(first.shape, "u4"), np.empty(first.shape, "u4")
+
+    def read(own: np.ndarray) -> None:
+        for i in range(0, len(own), LANES):
+            part = own[i : i + LANES]
+            ends[:, part], last[:, part] = phrases(model, lanes[part], first[:, part])
+
+    def stale() -> np.ndarray:
+        after = np.where(new[None, 1:], first[:, 1:], last[:, :-1])
+        return 1 + np.flatnonzero((after != first[:, 1:]).any(0))
+
+    todo = np.arange(len(lanes))
+    for _ in range(AGAIN + 1):
+        read(todo)
+        todo = stale()
+        if not len(todo):
+            return ends
+        first[:, todo] = last[:, todo - 1]
+    # such texts hardly ever come back into step: the rest is read in order
+    waiting = set(todo.tolist())
+    while waiting:
+        k = min(waiting)
+        waiting.discard(k)
+        for lang in range(len(model.starts)):
+            ends[lang, k], last[lang, k] = _read_one(model, lanes[k].tolist(), lang, int(first[lang, k]))
+        if k + 1 < len(lanes) and not new[k + 1] and (first[:, k + 1] != last[:, k]).any():
+            first[:, k + 1] = last[:, k]
+            waiting.add(k + 1)
+    return ends
+
+
+def _read_one(model: Model, codes: list[int], lang: int, state: int) -> tuple[int, int]:
+    """Phrase ends and last state of one block in one language."""
+    table, width, n = memoryview(model.table), model.width, 0
+    keys = None if model.keys is None else memoryview(model.keys)
+    for c in codes:
+        if c == PAD:
+            continue
+        if keys is None:
+            move = table[state * width + c]
+        else:
+            at = bisect.bisect_left(keys, state * width + c)
+            move = table[at] if at < len(keys) and keys[at] == state * width + c else int(model.restarts[lang, c])
+        n += move >> 31
+        state = move & 0x7FFFFFFF
+    return n, state
+
+
 def costs(model: Model, texts: list[str | None]) -> np.ndarray:
     """Bits of each text in each language, and as the last column its characters."""
     table = model.code_table()
@@ -207,9 +265,9 @@ def costs(model: Model, texts: list[str | None]) -> np.ndarray:
         nonlocal held, owner, n
         if n:
             lanes, own = np.concatenate(held), np.concatenate(owner)
-            for i in range(0, n, LANES):
-                got = phrases(model, lanes[i : i + LANES]) + 1
-                np.add.at(out, own[i : i + LANES], np.concatenate([got.T * model.bits, np.zeros((got.shape[1], 1))], 1))
+            new = np.concatenate(([True], own[1:] != own[:-1]))
+            ends = read_on(model, lanes, new) + new  # the last phrase of a text ends with it
+            np.add.at(out, own, np.concatenate([ends.T * model.bits, np.zeros((len(own), 1))], 1))
         held, owner, n = [], [], 0
 
     for i, text in enumerate(texts):
@@ -233,37 +291,40 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Model:
+def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, train_total: int = TRAIN_TOTAL) -> Model:
     """A model of the labelled documents that are not held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "size")
-    first = rows.select("doc_id", "lang", F.char_length("text").alias("size")).withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= train_docs)
-    chosen: dict[str, list[int]] = {}
-    left: dict[str, int] = {}
-    for r in sorted(first.collect(), key=lambda r: (r["lang"], r["nth"])):
-        if r["lang"] not in left:
-            left[r["lang"]] = train_chars
-            chosen[r["lang"]] = []
-        if not chosen[r["lang"]] or r["size"] <= left[r["lang"]]:
-            chosen[r["lang"]].append(r["doc_id"])
-            left[r["lang"]] -= r["size"]
-    ids = sorted({i for own in chosen.values() for i in own})
+    langs = rows.select("lang").distinct().count()
+    room = max(1, min(train_chars, train_total // max(1, langs)))
+    # pre-cut by hash before the sizes are summed up, so that a hot language costs train_docs rows a task
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "size", "tie")
+    first = rows.select("doc_id", "lang", F.char_length("text").alias("size"), F.xxhash64("text").alias("tie")).withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= train_docs)
+    used = F.sum("size").over(Window.partitionBy("lang").orderBy("nth"))
+    chosen = first.withColumn("used", used).where((F.col("nth") == 1) | (F.col("used") <= room)).select("lang", "doc_id", "tie", "nth")
     texts: dict[str, str] = {}
-    if ids:
-        for r in sorted(rows.where(F.col("doc_id").isin(ids)).select("lang", "doc_id", F.substring("text", 1, train_chars).alias("text")).collect()):
-            texts[r["lang"]] = texts.get(r["lang"], "") + "\n" + r["text"]
-    return build({lang: t[: train_chars + 1] for lang, t in texts.items() if any(c.isalpha() for c in t)})
+    keyed = rows.select("doc_id", "lang", F.xxhash64("text").alias("tie"), F.substring("text", 1, room).alias("text"))
+    own = keyed.join(F.broadcast(chosen), ["lang", "doc_id", "tie"]).groupBy("lang", "nth").agg(F.first("text").alias("text"))
+    for r in sorted(own.collect(), key=lambda r: (r["lang"], r["nth"])):
+        texts[r["lang"]] = texts.get(r["lang"], "") + "\n" + r["text"]
+    return build({lang: t[: room + 1] for lang, t in texts.items() if any(c.isalpha() for c in t)})
+
+
+#: What a prediction holds.
+PREDICTION = "lang_pred string, score double, bits_per_char double"
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs with lang_pred, score (0.5 to 1: the share of the second cost in the two least) and bits_per_char."""
+    """The rows of docs with a struct `prediction`: lang_pred, score (0.5 to 1: the share of the second cost in the two least) and bits_per_char.
+
+    Where docs has a column of that name the new one is the last, with underscores after its name.
+    """
     langs = np.array([*model.langs, "und"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others()
         for b in batches:
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            texts = b.column(1).to_pylist()
             found = costs(model, texts)
             chars, bits = found[:, -1], found[:, :-1]
             known = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool) & bool(model.langs)
@@ -274,16 +335,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 share = np.where(one, 1.0, np.where(one, 1.0, two[:, 1]) / np.where(one, 1.0, np.maximum(two.sum(1), 1e-9)))
                 per = np.where(known, two[:, 0] / np.maximum(chars, 1), 0.0)
             else:
-                best, share, per = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs[best].tolist(), pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(per)], [*b.schema.names, "lang_pred", "score", "bits_per_char"])
+                best, share, per = np.full(len(texts), 0), np.zeros(len(texts)), np.zeros(len(texts))
+            made = pa.StructArray.from_arrays([pa.array(langs[best].tolist(), pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(per)], ["lang_pred", "score", "bits_per_char"])
+            yield pa.RecordBatch.from_arrays([b.column(0), made], ["row", "made"])
 
-    rest = docs.drop("lang_pred", "score", "bits_per_char")
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields] + ["lang_pred string", "score double", "bits_per_char double"])
-    return rest.mapInArrow(run, ddl)
+    rows = docs.select(packed(docs, docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    got = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("made", T.StructType.fromDDL(PREDICTION))]))
+    return got.select("row.*", F.col("made").alias(free("prediction", docs.columns)))
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document, by a model of the same table."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = predict(rows, train(docs))
-    return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_char")
+    return predict(rows, train(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "prediction.lang_pred", "prediction.score", "prediction.bits_per_char")

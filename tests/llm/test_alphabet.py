@@ -33,5 +33,5 @@ def test_lookups_equal_the_table(monkeypatch):
     training = {lang: words(rng, first, 200, 20) for lang, first in (("aa", 97), ("bb", 100))}
     texts = [words(rng, 95, n, 30).lower() for n in (1, 9, 500)] + ["", training["aa"]]
     table = langid.costs(langid.build(training), texts)
-    monkeypatch.setattr(langid, "DENSE", 0)
+    monkeypatch.setattr(langid, "DENSE_BYTES", 0)
     assert langid.costs(langid.build(training), texts) == pytest.approx(table)

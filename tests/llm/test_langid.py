@@ -1,22 +1,20 @@
 import random
 
 import numpy as np
+import pytest
 
 from corpusloom.llm import langid
 
 
 def slow_cost(text, training):
-    """Greedy phrases by plain substring search, block by block; a letter unseen in training ends its phrase."""
-    n = 0
-    for at in range(0, len(text), langid.BLOCK):
-        block, i = text[at : at + langid.BLOCK], 0
-        n += 1
-        while i < len(block):
-            j = i
-            while j < len(block) and block[i : j + 1] in training:
-                j += 1
-            n += j < len(block)
-            i = j if j < len(block) and block[j] in training else j + 1
+    """Greedy phrases of the whole text by plain substring search; a letter unseen in training ends its phrase."""
+    n, i = int(bool(text)), 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[i : j + 1] in training:
+            j += 1
+        n += j < len(text)
+        i = j if j < len(text) and text[j] in training else j + 1
     return n
 
 
@@ -53,4 +51,34 @@ def test_nulls_and_empty_tables(docs, no_docs):
     assert got[9].lang_pred == got[8].lang_pred == "und" and got[9].score == 0
     assert got[10].lang_pred == "en"
     assert langid.identify(no_docs).collect() == []
-    assert {r.lang_pred for r in langid.predict(docs, langid.build({})).collect()} == {"und"}
+    assert {r.prediction.lang_pred for r in langid.predict(docs, langid.build({})).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("block, again", [(512, 3), (7, 3), (7, 0), (64, 1)])
+def test_phrases_run_over_cuts(monkeypatch, block, again):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    monkeypatch.setattr(langid, "AGAIN", again)
+    monkeypatch.setattr(langid, "LANES", 40)
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 5)))
+    training = {"aa": " ".join(word() for _ in range(400)), "bb": "a" * 97 + " " + "ab" * 60}
+    texts = [" ".join(word() for _ in range(n)) for n in (3, 700, 40, 2000)] + ["a" * 3000, "ab" * 900, training["aa"] * 2, "", "abcabz" * 300]
+    for dense in (langid.DENSE_BYTES, 0):
+        monkeypatch.setattr(langid, "DENSE_BYTES", dense)
+        model = langid.build(training)
+        for t, row in zip(texts, langid.costs(model, texts)):
+            for k, lang in enumerate(("aa", "bb")):
+                assert round(row[k] / model.bits[k]) == slow_cost(t, training[lang]), (t[:20], lang)
+
+
+def test_clashing_columns_are_kept(spark):
+    df = spark.createDataFrame([(1, "the text", 7, "x", 0.5, 1)], "doc_id long, text string, score int, lang_pred string, prediction double, row int")
+    got = langid.predict(df, langid.build({"en": "the text of it", "de": "der und die"})).first()
+    assert tuple(got)[:6] == (1, "the text", 7, "x", 0.5, 1) and got.prediction_.lang_pred == "en"
+
+
+def test_many_languages_share_the_model(spark):
+    rows = [(i, "ab cd " * 50 + f"l{i % 300}", f"l{i % 300}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, train_total=6000)
+    assert len(model.langs) == 300 and len(model.table) < 60_000
