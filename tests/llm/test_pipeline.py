@@ -6,6 +6,7 @@ import public_tokenizers as P
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from corpusloom.llm import common
 from tests.llm.test_neardup import brute as brute_components
 
 
@@ -27,7 +28,7 @@ def brute_kept(rows):
 def test_equals_brute_force(spark, tmp_path):
     rng = random.Random(8)
     table = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
-    rows = [(r.doc_id, r.text[:3000], r.lang, r.source, r.n_chars) for r in list(table.values())[:60]]
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in list(table.values())[:60]]
     passage = rows[3][1][:400]
     for i in range(6):
         words = rows[i][1].split(" ")
@@ -43,10 +44,12 @@ def test_equals_brute_force(spark, tmp_path):
     parts = brute_components(list(texts.items()))
     texts = {i: t for i, t in texts.items() if parts[i][1] == i}
     texts = {i: t for i, t in brute_kept(texts.items()).items() if any(map(str.isalpha, t))}
+    rows_left = len(common._HELD)
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     ids = {i: tok.encode(t, add_special_tokens=False).ids + [2] for i, t in texts.items()}
 
     got = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    assert len(common._HELD) <= rows_left + 3  # the last stage's input, pieces and counts
     want = {(i, a) for i, x in ids.items() for a in ([0] if len(x) <= 1024 else sorted({0, *range(len(x) % 1024, len(x), 1024)}))}
     assert {(r.doc_id, r.start) for r in got} == want and len(got) == len(want)
     seqs = {}
@@ -60,9 +63,14 @@ def test_equals_brute_force(spark, tmp_path):
 
 
 def test_stages_return_documents(spark, docs, no_docs):
-    rows, none = docs.drop("start", "n_tokens"), no_docs.drop("start", "n_tokens")
+    for c in ("score", "lang_pred", "prediction", "_base", "_own", "base", "row", "made", "_id", "a.b"):
+        docs, no_docs = docs.withColumn(c, docs.doc_id * 3), no_docs.withColumn(c, no_docs.doc_id)
+    rows = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, none, "").columns == rows.columns
+        assert stage(spark, no_docs, "").columns == docs.columns
         rows = stage(spark, rows, "")
-        assert rows.columns == none.columns
-    assert {r.doc_id for r in rows.collect()} == {7, 5, 4, 3, None, 1, -2}
+        assert rows.columns == docs.columns
+    got = rows.collect()
+    assert {r.doc_id for r in got} == {7, 5, 4, 3, None, 1, -2}
+    for r in got:
+        assert {r[c] for c in ("score", "lang_pred", "prediction", "_base", "_own", "base", "row", "made", "_id", "a.b")} == {None if r.doc_id is None else 3 * r.doc_id}
