@@ -6,6 +6,9 @@
 3. repeated_substrings: bytes in 100-byte strings that also start earlier are taken out of the texts, n_chars
    follows, and documents of which no letter is left go;
 4. packing: what is left is tokenised and packed into sequences of at most 1024 tokens; the result is one row per piece.
+
+Extra columns of any name are kept by all stages but the last. What a stage stages for itself is dropped when the stage is
+written, and its own rows when the next one is.
 """
 
 from __future__ import annotations
@@ -17,23 +20,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import langid, neardup, packing, substrings
-from corpusloom.llm.common import Staged
+from corpusloom.llm.common import Staged, free, staging
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.predict(docs, langid.train(docs)).where("lang_pred <> 'und'").select(*docs.columns)
+    found = free("prediction", docs.columns)
+    return langid.predict(docs, langid.train(docs)).where(F.col(f"{found}.lang_pred") != "und").drop(found)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     left = substrings.remove(docs).withColumn("n_chars", F.char_length("text").cast("long"))
-    return left.where(F.col("text").rlike(r"\p{L}")).select(*docs.columns)
+    return left.where(F.col("text").rlike(r"\p{L}")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +58,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents of a data folder; each stage is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: Staged | None = None
     for name, stage in STAGES[:-1]:
-        docs = Staged(stage(spark, docs, sf_dir), f"pipeline-{name}").df
+        with staging() as made:
+            made.keep(after := Staged(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        if before is not None:
+            before.drop()
+        before, docs = after, after.df
     return STAGES[-1][1](spark, docs, sf_dir)
