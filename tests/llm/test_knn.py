@@ -34,6 +34,24 @@ def test_equals_brute_force(spark, monkeypatch, seed):
     check(spark, rows, 5, pivots=12)
 
 
+def clustered(rng, spread):
+    centres = 4 * rng.normal(size=(16, 32))
+    return [(i, (centres[i % 16] + spread * rng.normal(size=32)).tolist()) for i in range(1600)]
+
+
+def test_bounds_save_copies_where_data_are_clustered(spark, monkeypatch):
+    monkeypatch.setattr(knn, "QUERY_GROUP", 10)
+    monkeypatch.setattr(knn, "SAMPLE", 60)
+    rng = np.random.default_rng(3)
+    share = {}
+    for name, rows in (("close", clustered(rng, 0.02)), ("wide", clustered(rng, 0.3)), ("random", [(i, rng.normal(size=32).tolist()) for i in range(1600)])):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        share[name] = knn.plan(knn.integer_vectors(df), "id % 20 = 0", 5, 64, 32).share
+        check(spark, rows[:700], 20, pivots=20)
+    print(share)
+    assert share["close"] < 0.3 and share["close"] < share["wide"] <= share["random"]
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (5, None), (10, [None, 1.0]), (15, [float("nan"), 1.0]), (20, [float("inf"), 1.0]), (None, [1.0, 1.0])]
     rows += [(25, [1.0]), (30, []), (1, [-0.001, 0.5]), (2, [1e12, -3e12]), (40, [1e12, 7e11]), (3, [0.0, 0.0])]
