@@ -16,17 +16,16 @@ from corpusloom.llm.encode import tokenizer_encoder
 
 def library(name):
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
 LIBRARY = {name: library(name) for name in ("word_bpe_49k.json", "byte_bpe_50k.json")}
 
 
-@pytest.mark.parametrize("per_file", [1 << 22, 40])
-def test_token_files(spark, docs, tmp_path, per_file):
+@pytest.mark.parametrize("part_bytes", [1 << 22, 40])
+def test_token_files(spark, docs, tmp_path, part_bytes):
     out = f"file://{tmp_path}/out"
-    tokenfiles.write(docs, out, P.path("word_bpe_49k.json"), ids_per_file=per_file)
+    tokenfiles.write(docs, out, P.path("word_bpe_49k.json"), part_bytes=part_bytes)
     ids = library("word_bpe_49k.json")
     rows = sorted(((r.doc_id if r.doc_id is not None else -(2**63), ids(r.text) + [2]) for r in docs.collect()), key=lambda x: x[0])
     got = sorted(tokenfiles.read(spark, out).collect(), key=lambda r: r.start)
@@ -54,6 +53,9 @@ def test_byte_bpe_equals_library(docs, no_docs):
     got = sorted((r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_digests(docs, path, P.PATTERN).collect())
     assert got == want
     assert bpe.encode_digests(no_docs, path, P.PATTERN).collect() == []
+    own_ids = docs.withColumn("ids", docs.doc_id)
+    back = bpe.decode(bpe.encode(own_ids, path, P.PATTERN), path, P.PATTERN, "ids_").collect()
+    assert all(r.decoded == (r.text or "") and r.ids == r.doc_id for r in back) and len(back) == 11
     assert {r.doc_id: r.ids for r in bpe.encode(docs, path, P.PATTERN).collect()}[5] == own.encode_ordinary("The cat sat on the mat, and the dog lay by the door.")
 
 
@@ -89,8 +91,31 @@ def test_chunks_do_not_change_ids(texts):
     for name, kind in (("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaced")):
         got = [np.frombuffer(x, "<u4").tolist() for x in tokenizer_encoder(P.path(name), kind).ids(texts)]
         assert got == [LIBRARY[name](t) for t in texts]
-    encoder, _ = bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.ids(texts)] == [LIBRARY["byte_bpe_50k.json"](t) for t in texts]
+
+
+@pytest.mark.parametrize("name, kind", [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaced")])
+def test_special_strings_and_long_texts_as_the_library(name, kind):
+    texts = ["ab <|endoftext|> c", "<|startoftext|>x<|endoftext|>", "<|endoftext|>", "<|ENDOFTEXT|> a", "", "<|endoftext", None, "a <|endoftext|>" * 3 + " b\n\n c"]
+    texts += ["word, Word. ÉTÉ été  two\tthree\nfour!? " * 40_000, "x" * 30_000]
+    got = [np.frombuffer(x, "<u4").tolist() for x in tokenizer_encoder(P.path(name), kind).ids(texts)]
+    for t, g in zip(texts, got, strict=True):
+        assert g == LIBRARY[name](t)
+
+
+def test_replay_equals_library():
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoder, _ = bpe.codec(path, P.PATTERN)
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.text(ALPHABET, max_size=40), min_size=1, max_size=3))
+    def run(texts):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.ids(texts)] == [own.encode_ordinary(t) for t in texts]
+
+    run()
+    long = ["<|endoftext|> Words, and words. Été 12,345 " * 60_000, "aaaa" * 5000]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.ids(long)] == [own.encode_ordinary(t) for t in long]
 
 
 @settings(max_examples=150, deadline=None)
