@@ -84,7 +84,7 @@ def split_guard(train: DataFrame, test: DataFrame, threshold: float = 0.9, width
     whole = train.select("doc_id", F.sha2(T.collapse(F.col("text")), 256).alias("key")).join(test.select(F.sha2(T.collapse(F.col("text")), 256).alias("key")).distinct(), "key", "left_semi")
     both = train.select(F.lit(0).alias("side"), "doc_id", "path", "text").unionByName(test.select(F.lit(1).alias("side"), "doc_id", "path", "text"))
     sets = both.select("side", "doc_id", "path", T.tokens(F.col("text")).alias("toks"))
-    sets = sets.select("side", "doc_id", "path", F.sort_array(F.transform(T.shingles(F.col("toks"), width), lambda g: F.xxhash64(g))).alias("s"))
+    sets = sets.select("side", "doc_id", "path", T.shingle_hashes(F.col("toks"), width).alias("s"))
     sets = sets.withColumn("key", F.sha2(F.array_join(F.col("s").cast("array<string>"), ","), 256))
     classes = sets.groupBy("path", "key").agg(F.first("s").alias("s"), F.max("side").alias("tested"), F.min("side").alias("trained")).withColumn("n", F.size("s"))
     same = classes.where("tested = 1").select("path", "key")

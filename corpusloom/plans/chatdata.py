@@ -119,7 +119,7 @@ def held_out_guard(spark, sf):
     return _guarded(spark, sf)
 
 
-@query(_GUARDED + ", r AS (SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN 'not_train_split' WHEN trim(text) = '' THEN 'no_reply' WHEN doc_id IN (SELECT doc_id FROM h) THEN 'leakage_bench' WHEN doc_id IN (SELECT doc_id FROM guarded) THEN 'leakage_test_split' WHEN length(text) > 8000 THEN 'reply_too_long' ELSE 'kept' END AS reason FROM documents), h AS (SELECT DISTINCT x.doc_id FROM documents x, (SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS needle FROM benchmark) b WHERE length(needle) >= 60 AND contains(trim(regexp_replace(x.text, '\\s+', ' ', 'g')), needle)) SELECT reason, count(*) AS documents FROM r GROUP BY 1")
+@query(_GUARDED + ", h AS (SELECT DISTINCT x.doc_id FROM documents x, (SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS needle FROM benchmark) b WHERE length(needle) >= 60 AND contains(trim(regexp_replace(x.text, '\\s+', ' ', 'g')), needle)), r AS (SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN 'not_train_split' WHEN trim(text) = '' THEN 'no_reply' WHEN doc_id IN (SELECT doc_id FROM h) THEN 'leakage_bench' WHEN doc_id IN (SELECT doc_id FROM guarded) THEN 'leakage_test_split' WHEN length(text) > 8000 THEN 'reply_too_long' ELSE 'kept' END AS reason FROM documents) SELECT reason, count(*) AS documents FROM r GROUP BY 1")
 def step_examples(spark, sf):
     """The reasons that keep a step's reply from becoming an example, in order."""
     from ..operators import dedup as D
