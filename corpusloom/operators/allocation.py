@@ -76,10 +76,28 @@ def feasible(states: DataFrame, totals: DataFrame, max_epochs: int) -> DataFrame
     return totals.join(F.broadcast(most)).withColumn("shortfall", F.greatest(F.lit(0.0), F.col("total") - F.col("most"))).drop("most")
 
 
+#: Values of the order column that one block of a running total spans.
+BLOCK = 1 << 16
+
+
+def running_total(rows: DataFrame, group: str, order: str, size: str, name: str, block: int = BLOCK) -> DataFrame:
+    """rows with the sum of the group's sizes up to and with each row, by a unique long column.
+
+    Sums of blocks of the order's values are added up first, and then the rows of a block, so that a hot group is many tasks.
+    """
+    part = F.floor(F.col(order) / block)
+    blocks = rows.groupBy(F.col(group).alias("_g"), part.alias("_b")).agg(F.sum(size).alias("_s"))
+    before = F.sum("_s").over(Window.partitionBy("_g").orderBy("_b")) - F.col("_s")
+    starts = blocks.select("_g", "_b", before.alias("_before"))
+    joined = rows.withColumn("_own", part).join(starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_own") == F.col("_b")))
+    within = F.sum(size).over(Window.partitionBy(group, "_own").orderBy(order))
+    return joined.withColumn(name, (F.col("_before") + within).cast("long")).drop("_g", "_b", "_own", "_before")
+
+
 def admit_until(rows: DataFrame, bucket: str, order: str, size: str, limit: Column) -> DataFrame:
-    """admitted: whether the sum of the bucket's earlier rows is below its limit (the last admitted row may pass it)."""
-    before = F.coalesce(F.sum(size).over(Window.partitionBy(bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("admitted", before < limit)
+    """admitted: whether the sum of the bucket's earlier rows is below its limit, which the last admitted row may pass."""
+    summed = running_total(rows, bucket, order, size, "_cum")
+    return summed.withColumn("admitted", F.col("_cum") - F.coalesce(F.col(size), F.lit(0)) < limit).drop("_cum")
 
 
 def fill_point(files: DataFrame, bucket: str, file: str, size: str, quota: Column) -> DataFrame:
@@ -110,12 +128,35 @@ def interleave_top(rows: DataFrame, side: str, order: list[str | Column], limit:
 
 def exact_shards(rows: DataFrame, split: str, order: str, size: str, shard_tokens: int, target: Column) -> DataFrame:
     """written tokens of each row so that its split ends exactly at the target, and the first shard it is in."""
-    cum = F.sum(size).over(Window.partitionBy(split).orderBy(order))
-    rows = rows.withColumn("_cum", cum).withColumn("_from", F.col("_cum") - F.col(size)).withColumn("_target", target)
+    rows = running_total(rows, split, order, size, "_cum").withColumn("_from", F.col("_cum") - F.col(size)).withColumn("_target", target)
     written = F.greatest(F.lit(0), F.least("_cum", "_target") - F.least("_from", "_target"))
     return rows.withColumn("written", written.cast("long")).withColumn("shard", F.floor(F.col("_from") / shard_tokens).cast("long")).where("written > 0").drop("_cum", "_from", "_target")
 
 
+def places_in(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """rows with their place (from 1) within their group by a key: numbers over the whole order less those of the groups before."""
+    numbered = numbered_parts(rows, [group, key], 1).drop("part", "split", "row_id")
+    first = numbered.groupBy(F.col(group).alias("_g")).agg(F.min("n").alias("_first"))
+    return numbered.join(F.broadcast(first), F.col(group).eqNullSafe(F.col("_g"))).withColumn("place", F.col("n") - F.col("_first") + 1).drop("n", "_g", "_first")
+
+
+def largest_feasible(states: DataFrame, max_epochs: int) -> DataFrame:
+    """total: the largest total that the unique tokens built so far can fill by the sources' shares without building more, as a whole
+    number of tokens: a source gives at most its epochs, and shares are spread over those that are not used up."""
+    budget = epoch_budget(F.col("unique_tokens"), F.col("consumed"), max_epochs).cast("double")
+    live = states.where("share > 0").withColumn("most", F.when(F.col("exhausted"), budget).otherwise((F.col("unique_tokens") - F.col("consumed")).cast("double")))
+    # an exhausted source gives what it can and drops out; a live one bounds the total as soon as its share of the rest asks for more
+    dry = live.where("exhausted")
+    w = Window.orderBy("ratio").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dry = dry.withColumn("ratio", F.col("most") / F.col("share")).select("ratio", F.sum("most").over(w).alias("given"), F.sum("share").over(w).alias("gone"))
+    rest = live.where("NOT exhausted").agg(F.min(F.col("most") / F.col("share")).alias("level"))
+    shares, every = live.agg(F.sum("share").alias("shares")), live.agg(F.sum("most").alias("sum"), F.count_if(~F.col("exhausted")).alias("n_live"))
+    below = dry.join(F.broadcast(rest)).where(F.col("ratio") <= F.col("level")).agg(F.coalesce(F.max("given"), F.lit(0.0)).alias("given"), F.coalesce(F.max("gone"), F.lit(0.0)).alias("gone"))
+    one = below.join(shares).join(every).join(rest)
+    total = F.when(F.col("n_live") == 0, F.col("sum")).otherwise(F.col("given") + F.col("level") * (F.col("shares") - F.col("gone")))
+    return one.select(F.floor(total + F.lit(1e-6)).alias("total"))
+
+
 def numbered_parts(rows: DataFrame, order: list[str], size: int, val_every: int = 20) -> DataFrame:
     """n, part, split and row_id of rows in one order, dealt to parts of a fixed size.
 

@@ -118,10 +118,8 @@ def part_assignment(spark, sf):
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('1337|' || doc_id)) AS place FROM documents")
 def seeded_shuffle(spark, sf):
-    from pyspark.sql import Window
-
     key = F.sha2(F.concat(F.lit("1337|"), F.col("doc_id").cast("string")), 256)
-    return table(spark, sf, "documents").select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(key)).cast("long").alias("place"))
+    return A.places_in(table(spark, sf, "documents").select("doc_id", "lang", key.alias("key")), "lang", "key").select("doc_id", "place")
 
 
 @query(f"SELECT doc_id, epoch, start FROM (SELECT doc_id, e AS epoch, n, (e * total + cum - n)::BIGINT AS start FROM (SELECT doc_id, source, n, sum(n) OVER (PARTITION BY source ORDER BY doc_id) AS cum, sum(n) OVER (PARTITION BY source) AS total FROM (SELECT doc_id, source, {_TOKENS} AS n FROM documents)), range(3) r(e))")
@@ -132,10 +130,8 @@ def epoch_repeat(spark, sf):
 
 def _repeated(docs, epochs):
     """The documents of each source in order, again in every epoch, with the tokens before each."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source")
-    d = docs.withColumn("cum", F.sum("n_tokens").over(w.orderBy("doc_id"))).withColumn("total", F.sum("n_tokens").over(w))
+    totals = docs.groupBy("source").agg(F.sum("n_tokens").alias("total"))
+    d = A.running_total(docs, "source", "doc_id", "n_tokens", "cum").join(F.broadcast(totals), "source")
     d = d.withColumn("epoch", F.explode(F.array(*[F.lit(e).cast("long") for e in range(epochs)])))
     return d.withColumn("start", (F.col("epoch") * F.col("total") + F.col("cum") - F.col("n_tokens")).cast("long"))
 

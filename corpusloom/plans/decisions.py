@@ -141,7 +141,7 @@ def cost_projection(spark, sf):
 @query("SELECT source, start, doc_id FROM (SELECT source, doc_id, cum - n AS start, cum, n FROM (SELECT source, doc_id, n, sum(n) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS cum FROM (SELECT source, doc_id, len(regexp_extract_all(text, '{TOKEN}')) + 1 AS n FROM documents))) WHERE start < 12000 AND cum > 8000")
 def range_read(spark, sf):
     d = table(spark, sf, "documents").select("source", "doc_id", (F.size(T.tokens(F.col("text"))) + 1).alias("n"))
-    d = d.withColumn("cum", F.sum("n").over(Window.partitionBy("source").orderBy("doc_id")))
+    d = A.running_total(d, "source", "doc_id", "n", "cum")
     return d.withColumn("start", (F.col("cum") - F.col("n")).cast("long")).where("start < 12000 AND cum > 8000").select("source", "start", "doc_id")
 
 

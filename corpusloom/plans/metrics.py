@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import allocation as A
 from ..operators import metrics as M
 from .registry import query, table
 
@@ -180,7 +181,7 @@ def count_windows(spark, sf):
 
 @query("SELECT doc_id, sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id)::BIGINT AS end_pos FROM documents")
 def bucket_ends(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.sum("n_chars").over(Window.partitionBy("lang").orderBy("doc_id")).cast("long").alias("end_pos"))
+    return A.running_total(table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), "lang", "doc_id", "n_chars", "end_pos").select("doc_id", "end_pos")
 
 
 @query("SELECT event_id, (props::JSON->>'$.k')::BIGINT AS k, event_type || ':' || coalesce(props::JSON->>'$.k', '-') AS tag FROM events")
