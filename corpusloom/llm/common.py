@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import sys
 import tempfile
@@ -10,6 +11,7 @@ import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,6 +114,11 @@ def forget_others(encoders: bool = True) -> None:
         for h in held:
             h.clear()
         gc.collect()
+    # what was freed goes back to the system, as workers of several operators share an executor's memory
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def release(spark: SparkSession) -> None:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 
 #: Chunks kept per worker, and bytes of text split at once: both bound a worker's memory.
 CACHE_CHUNKS = 600_000
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 5_000_000
 #: Distinct chunks that a tokenizer encodes in one call.
 JOINED = 4000
 

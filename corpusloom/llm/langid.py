@@ -36,6 +36,8 @@ from .common import forget_others, free, packed
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_TOTAL = 200, 30_000, 1_200_000
 #: Characters of a block, blocks read at once, and how often blocks are read again before the rest is read one by one.
 BLOCK, LANES, AGAIN = 512, 4096, 3
+#: Rows predicted at once.
+ROWS = 500
 #: Up to so many bytes the moves are one table.
 DENSE_BYTES = 96 << 20
 _FLAG = np.uint32(1 << 31)
@@ -324,24 +326,28 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others()
         for b in batches:
-            texts = b.column(1).to_pylist()
-            found = costs(model, texts)
-            chars, bits = found[:, -1], found[:, :-1]
-            known = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool) & bool(model.langs)
-            if model.langs:
-                best = np.where(known, bits.argmin(1), len(model.langs))
-                two = np.sort(np.concatenate([bits, np.full((len(bits), 1), np.inf)], 1), 1)[:, :2]
-                one = np.isinf(two[:, 1])
-                share = np.where(one, 1.0, np.where(one, 1.0, two[:, 1]) / np.where(one, 1.0, np.maximum(two.sum(1), 1e-9)))
-                per = np.where(known, two[:, 0] / np.maximum(chars, 1), 0.0)
-            else:
-                best, share, per = np.full(len(texts), 0), np.zeros(len(texts)), np.zeros(len(texts))
-            made = pa.StructArray.from_arrays([pa.array(langs[best].tolist(), pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(per)], ["lang_pred", "score", "bits_per_char"])
-            yield pa.RecordBatch.from_arrays([b.column(0), made], ["row", "made"])
+            for i in range(0, b.num_rows, ROWS):
+                part = b.slice(i, ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns, predicted(part.column(1).to_pylist())], ["row", "text", "made"])
+
+    def predicted(texts: list[str | None]) -> pa.Array:
+        found = costs(model, texts)
+        chars, bits = found[:, -1], found[:, :-1]
+        known = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool) & bool(model.langs)
+        if model.langs:
+            best = np.where(known, bits.argmin(1), len(model.langs))
+            two = np.sort(np.concatenate([bits, np.full((len(bits), 1), np.inf)], 1), 1)[:, :2]
+            one = np.isinf(two[:, 1])
+            share = np.where(one, 1.0, np.where(one, 1.0, two[:, 1]) / np.where(one, 1.0, np.maximum(two.sum(1), 1e-9)))
+            per = np.where(known, two[:, 0] / np.maximum(chars, 1), 0.0)
+        else:
+            best, share, per = np.full(len(texts), 0), np.zeros(len(texts)), np.zeros(len(texts))
+        return pa.StructArray.from_arrays([pa.array(langs[best].tolist(), pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(per)], ["lang_pred", "score", "bits_per_char"])
 
-    rows = docs.select(packed(docs, docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
-    got = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("made", T.StructType.fromDDL(PREDICTION))]))
-    return got.select("row.*", F.col("made").alias(free("prediction", docs.columns)))
+    kept = [c for c in docs.columns if c != "text"]
+    rows = docs.select(packed(docs, kept).alias("row"), F.col("text").cast("string").alias("text"))
+    got = rows.mapInArrow(run, T.StructType([rows.schema["row"], rows.schema["text"], T.StructField("made", T.StructType.fromDDL(PREDICTION))]))
+    return got.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns], F.col("made").alias(free("prediction", docs.columns)))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ SMALL, BLOCK = 32, 256
 #: Common shingles whose columns are multiplied at once.
 COLUMNS = 8192
 #: Bytes of text that a worker shingles at once.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 _rng = np.random.default_rng(20_240_501)
 _BYTE = _rng.integers(1, 2**64, 256, "u8", endpoint=False) | np.uint64(1)
@@ -161,7 +161,7 @@ def signatures(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others()
-        for b in batches:
+        for b in (part.slice(i, 500) for part in batches for i in range(0, part.num_rows, 500)):
             n, k1, k2, bands, sig = [], [], [], [], []
             for s in shingle_sets(b.column(1).to_pylist(), width):
                 n.append(len(s))

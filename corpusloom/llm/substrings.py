@@ -40,7 +40,8 @@ from .common import Staged, forget_others, packed, release
 LENGTH = 100
 #: Windows in a row, by round.
 ROUNDS = (51, 8, 1)
-_SLICE = (1 << 20) - 4 * LENGTH
+#: Bytes of text named at once, and rows that lose their repeats at once: both bound a worker's memory.
+_SLICE, ROWS_AT_ONCE = (1 << 19) - 4 * LENGTH, 500
 _LOW = np.uint64((1 << 20) - 1)
 
 _rng = np.random.default_rng(77)
@@ -218,19 +219,22 @@ def _apply(placed: DataFrame, repeats: DataFrame, bits: int, finish: Callable[[b
     """row and made (a struct of what finish(text, kept bytes as a mask) returns) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for b in batches:
-            out = []
-            for text, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                cover = np.zeros(len(raw) + 1, "i4")
-                if own:
-                    first = np.array([r["first"] for r in own])
-                    np.add.at(cover, first, 1)
-                    np.add.at(cover, first + np.array([r["n"] for r in own]) - 1 + LENGTH, -1)
-                out.append(finish(raw, np.cumsum(cover[:-1]) == 0))
-            if out:
+            for i in range(0, b.num_rows, ROWS_AT_ONCE):
+                part = b.slice(i, ROWS_AT_ONCE)
+                out = [finish(*left(t, own)) for t, own in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
                 cols = [pa.array(list(c)) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.StructArray.from_arrays(cols, names)], ["row", "made"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.StructArray.from_arrays(cols, names)], ["row", "made"])
+
+    def left(text: str | None, own: list | None) -> tuple[bytes, np.ndarray]:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        cover = np.zeros(len(raw) + 1, "i4")
+        if own:
+            first = np.array([r["first"] for r in own])
+            np.add.at(cover, first, 1)
+            np.add.at(cover, first + np.array([r["n"] for r in own]) - 1 + LENGTH, -1)
+        return raw, np.cumsum(cover[:-1]) == 0
 
     names = made.fieldNames()
     joined = placed.join(_per_doc(repeats, bits), "base", "left").select("row", "text", "own")
