@@ -11,7 +11,7 @@ text's hash. Null doc_ids come last. Extra columns are ignored. An empty table g
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounds, bucket, shuffle_parts
@@ -76,8 +76,8 @@ def encoded(a: Column) -> Column:
 def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     """docs (doc_id, text) with the row that follows in descending doc_id; after the last comes the first.
 
-    Rows are dealt by ranges of doc_id; the first row of each range is copied to the range before it, so no
-    task needs more than its own range. Columns: doc_id, text, hashes, next_text, next_hashes.
+    Rows are dealt by ranges of doc_id, one to a partition; the first row of each range is copied to the range before
+    it, so no task needs more than its own range. Columns: doc_id, text, hashes, next_text, next_hashes.
     """
     cuts = bounds(docs, "doc_id", buckets)
     ranged = docs.withColumn("range", bucket(F.col("doc_id"), cuts))
@@ -90,14 +90,26 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     also = F.element_at(F.array(*[F.lit(above.get(r, 0)) for r in range(n)]), F.col("range") + 1)
     own = F.struct(F.col("range").alias("r"), F.lit(False).alias("copy"))
     places = F.when(F.col("doc_id").eqNullSafe(top), F.array(own, F.struct(also.alias("r"), F.lit(True).alias("copy")))).otherwise(F.array(own))
-    dealt = ranged.withColumn("place", F.explode(places)).select("doc_id", "text", F.col("place.r").alias("range"), F.col("place.copy").alias("copy"))
-    dealt = dealt.repartition(max(shuffle_parts(docs.sparkSession), 1), "range").withColumn("hashes", word_hashes(F.col("text")))
+    label = F.element_at(F.array(*map(F.lit, apart(docs.sparkSession, n))), F.col("place.r") + 1)
+    dealt = ranged.withColumn("place", F.explode(places)).select("doc_id", "text", label.alias("range"), F.col("place.copy").alias("copy"))
+    dealt = dealt.repartition(n, "range").withColumn("hashes", word_hashes(F.col("text")))
     order = Window.partitionBy("range").orderBy("copy", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     for c in ("text", "hashes"):
         dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(order))
     return dealt.where(~F.col("copy"))
 
 
+def apart(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that a shuffle by hash deals to n different partitions."""
+    found: dict[int, int] = {}
+    size = 20 * n + 100
+    while len(found) < n:
+        own = spark.range(size).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id"))
+        found = {r["p"]: r["id"] for r in own.collect()}
+        size *= 4
+    return [found[p] for p in range(n)]
+
+
 def edited(text: Column, other: Column) -> Column:
     """text with its last half replaced by the first as many code points of the other."""
     n = F.char_length(text)

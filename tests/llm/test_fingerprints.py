@@ -1,5 +1,7 @@
 import hashlib
+import re
 
+import xxhash
 from pyspark.sql import functions as F
 
 from corpusloom.llm import fingerprints as fp
@@ -20,6 +22,47 @@ def test_next_text_and_edited_text(docs):
             assert got[key].edited_sha256 == hashlib.sha256(want.encode()).hexdigest(), key
 
 
+def hashed(parts):
+    """Spark's xxhash64 of some strings or longs, which chains its seed."""
+    seed = 42
+    for x in parts:
+        raw = x.encode() if isinstance(x, str) else x.to_bytes(8, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def plain_sketch(text):
+    words = [hashed([w]) for w in re.split("[ \t-\r]+", text.lower()) if w]
+    runs = [hashed(words[i : i + 5]) for i in range(len(words) - 4)] if len(words) >= 5 else [hashed([" ".join(map(str, words))])] if words else []
+    return sorted(set(runs))[:128]
+
+
+def plain_likeness(a, b):
+    least = sorted(set(a) | set(b))[:128]
+    return 1.0 if not a and not b else len(set(least) & set(a) & set(b)) / max(1, len(least))
+
+
+def encoded(sketch):
+    return "".join(f"{h & (1 << 64) - 1:016X}" for h in sketch)
+
+
+def test_equals_plain_sketches(spark):
+    """Every column of every document, made again outside Spark; ids repeat, with equal and unlike texts."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    rows = [(r.doc_id // 2 * 2 if r.doc_id < 40 else r.doc_id, r.text) for r in table] + [(7, "one two"), (7, "one two"), (None, "x y z a b c"), (9_000, None)]
+    got = fp.compare_with_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # null ids come last, and rows of one id by their text's hash
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed([r[1] or ""])))
+    want = []
+    for i, (doc_id, text) in enumerate(order):
+        text, after = text or "", order[(i + 1) % len(order)][1] or ""
+        half = len(text) // 2
+        edit = text[: len(text) - half] + after[:half]
+        a, b, c = map(plain_sketch, (text, edit, after))
+        want.append((doc_id, len(text), hashlib.sha256(edit.encode()).hexdigest(), encoded(a), encoded(b), plain_likeness(a, b), plain_likeness(a, c)))
+    assert sorted(map(str, want)) == sorted(str(tuple(r)[:7]) for r in got)
+
+
 def test_estimates(spark, docs):
     r = {x.doc_id: x for x in fp.compare_with_edited(docs).collect()}
     assert r[10].fingerprint == r[5].fingerprint != ""
