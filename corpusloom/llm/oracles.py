@@ -24,38 +24,42 @@ s AS (
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 5
 """
 
+#: Rows of one doc_id are one vertex with the links of all its texts.
 NEAR_DUPLICATES = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
 s AS (
-  SELECT doc_id, CASE WHEN len(words) >= 5 THEN list_distinct([array_to_string(words[i:i+4], ' ') for i in range(1, len(words) - 3)])
+  SELECT r, doc_id, CASE WHEN len(words) >= 5 THEN list_distinct([array_to_string(words[i:i+4], ' ') for i in range(1, len(words) - 3)])
     WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS shingles FROM w),
-e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS g FROM s),
+e AS (SELECT r, doc_id, len(shingles) AS n, unnest(shingles) AS g FROM s),
 links AS (
-  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id AND least(a.n, b.n) * 100 >= 85 * greatest(a.n, b.n)
-  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+  SELECT DISTINCT a, b FROM (
+    SELECT any_value(a.doc_id) AS a, any_value(b.doc_id) AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id AND least(a.n, b.n) * 100 >= 85 * greatest(a.n, b.n)
+    GROUP BY a.r, b.r HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*)))),
 reach(doc_id, other) AS (SELECT a, b FROM links UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a),
 least_of AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
-SELECT doc_id, len(shingles)::BIGINT AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(other, doc_id)) AS kept
+SELECT doc_id, len(shingles)::BIGINT AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id, coalesce(doc_id = least(doc_id, coalesce(other, doc_id)), true) AS kept
 FROM s LEFT JOIN least_of USING (doc_id)
 """
 
+#: Documents come in the order of doc_id and, of unlike texts under one, of the SHA-256 of the text.
 SUBSTRINGS = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 200)) AS name FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 99)) AS p FROM d)),
-r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY name ORDER BY doc_id, p) AS nth FROM w) WHERE nth > 1),
-c AS (SELECT doc_id, p, coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 < p, true) AS new_run FROM r),
-runs AS (SELECT doc_id, min(p) AS lo, max(p) + 100 AS hi FROM (SELECT doc_id, p, sum(new_run::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM c) GROUP BY doc_id, run),
-gone AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo)::BIGINT AS n_removed FROM runs GROUP BY doc_id),
+WITH k AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, dense_rank() OVER (ORDER BY doc_id NULLS FIRST, sha256(coalesce(text, ''))) AS doc FROM documents),
+d AS (SELECT DISTINCT doc, h FROM k WHERE doc_id IS NOT NULL),
+w AS (SELECT doc, p, md5_number(substr(h, 2 * p + 1, 200)) AS name FROM (SELECT doc, h, unnest(range(length(h) // 2 - 99)) AS p FROM d)),
+r AS (SELECT doc, p FROM (SELECT doc, p, row_number() OVER (PARTITION BY name ORDER BY doc, p) AS nth FROM w) WHERE nth > 1),
+c AS (SELECT doc, p, coalesce(lag(p) OVER (PARTITION BY doc ORDER BY p) + 100 < p, true) AS new_run FROM r),
+runs AS (SELECT doc, min(p) AS lo, max(p) + 100 AS hi FROM (SELECT doc, p, sum(new_run::INT) OVER (PARTITION BY doc ORDER BY p) AS run FROM c) GROUP BY doc, run),
+gone AS (SELECT doc, count(*) AS n_spans, sum(hi - lo)::BIGINT AS n_removed FROM runs GROUP BY doc),
 kept AS (
-  SELECT doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS h FROM (
-    SELECT d.doc_id, d.h, x.lo, x.hi FROM d JOIN (
-      SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS lo, lo AS hi FROM runs
-      UNION ALL SELECT doc_id, max(hi), NULL FROM runs GROUP BY doc_id) y USING (doc_id), (SELECT y.lo AS lo, coalesce(y.hi, length(d.h) // 2) AS hi) x)
-  GROUP BY doc_id)
-SELECT doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
-  sha256(unhex(CASE WHEN n_spans IS NULL THEN d.h ELSE coalesce(kept.h, '') END)) AS kept_sha256
-FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+  SELECT doc, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS rest FROM (
+    SELECT d.doc, d.h, x.lo, x.hi FROM d JOIN (
+      SELECT doc, coalesce(lag(hi) OVER (PARTITION BY doc ORDER BY lo), 0) AS lo, lo AS hi FROM runs
+      UNION ALL SELECT doc, max(hi), NULL FROM runs GROUP BY doc) y USING (doc), (SELECT y.lo AS lo, coalesce(y.hi, length(d.h) // 2) AS hi) x)
+  GROUP BY doc)
+SELECT doc_id, (length(k.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN k.h ELSE coalesce(rest, '') END)) AS kept_sha256
+FROM k LEFT JOIN gone USING (doc) LEFT JOIN kept USING (doc)
 """
 
 ORACLES = {"op5_chat": CHAT, "op7_nearest_vectors": NEAREST, "op8_near_duplicates": NEAR_DUPLICATES, "op9_repeated_substrings": SUBSTRINGS}

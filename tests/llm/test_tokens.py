@@ -1,4 +1,5 @@
 import base64
+import bisect
 import hashlib
 import zlib
 
@@ -135,3 +136,28 @@ def test_plan_places_every_item_once(items):
             at += n
         assert at <= 64
     assert total <= 1.3 * sum(items) / 64 + 1 or total <= sum(n > 32 for n in items) + sum(21 < n <= 32 for n in items) / 2 + 2
+
+
+def best_fit(sizes, capacity):
+    """Sequences that best fit makes of sizes, the largest first."""
+    gaps = []
+    for n in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(gaps, n)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        count = gap == capacity
+        if gap - n:
+            bisect.insort(gaps, gap - n)
+        best_fit.count = best_fit.count + 1 if count else best_fit.count
+    return best_fit.count
+
+
+def test_plan_needs_no_more_than_plain_best_fit(spark):
+    ids = LIBRARY["byte_bpe_50k.json"]
+    rests = []
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
+        n = len(ids(r.text)) + 1
+        rests += [1024] * (n // 1024) + [n % 1024] * (n % 1024 > 0)
+    for sizes in (rests, [n for n in rests if n < 300] * 3, [340, 342, 343, 500, 520] * 70):
+        best_fit.count = 0
+        _, total = packing.plan({s: sizes.count(s) for s in set(sizes)}, 1024)
+        assert total <= 1.01 * best_fit(sizes, 1024) + 1, (total, best_fit.count)
