@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 from collections.abc import Mapping, Sequence
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -83,6 +85,47 @@ def merged(metadata: Column, own: Mapping[str, Column]) -> Column:
     return F.map_concat(rest, mine)
 
 
+#: Elements that start and end a line of text.
+BREAKS = frozenset("address article aside blockquote br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul".split())
+
+
+class _Plain(HTMLParser):
+    """Text of HTML: breaks at block elements, preformatted text as it is, other white space as one space."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.parts: list[str] = []
+        self.pre = 0
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in BREAKS:
+            self.parts.append("\n")
+        self.pre += tag == "pre"
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in BREAKS:
+            self.parts.append("\n")
+        self.pre -= tag == "pre" and self.pre > 0
+
+    def handle_data(self, data: str) -> None:
+        self.parts.append(data if self.pre else re.sub(r"\s+", " ", data))
+
+
+def plain_html(html: str) -> str:
+    """All text of a piece of HTML (that of scripts too), with at most one blank line between two others."""
+    reader = _Plain()
+    reader.feed(html)
+    reader.close()
+    lines = [x.rstrip() for x in "".join(reader.parts).split("\n")]
+    kept = [x for i, x in enumerate(lines) if x or (i and lines[i - 1])]
+    return "\n".join(kept).strip()
+
+
+@pandas_udf(StringType())
+def html_text(html: pd.Series) -> pd.Series:
+    return html.map(lambda h: None if h is None else plain_html(h))
+
+
 def carried(rows: DataFrame, file: str, order: str, reason: str, reasons: Sequence[str]) -> DataFrame:
     """The kept rows (reason is null) of each file in order, and one row an end of file (order null), each with how many rows
     were left out since the kept row before, by reason.

@@ -194,10 +194,19 @@ def special_share_cap(spark, sf):
     return M.capped(_sized(spark, sf).withColumn("special", F.col("lang") == "de"), 0.1, 2000)
 
 
+_WEIGHTS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
+
+
 @query()
 def quota_collect(spark, sf):
     """Tested offer by offer against the rule (tests/test_mixing.py), which decides by windows of offers."""
-    return M.collect_quota(_sized(spark, sf).withColumnRenamed("lang", "bucket"), {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}, 150_000.0)
+    return M.collect_quota(_sized(spark, sf).withColumnRenamed("lang", "bucket"), _WEIGHTS, 150_000.0)
+
+
+@query()
+def quota_sample(spark, sf):
+    """The sampler that gives up buckets by their rate; one bucket takes nothing of what others leave. Tested as quota_collect is."""
+    return M.sample_quota(_sized(spark, sf).withColumnRenamed("lang", "bucket"), _WEIGHTS, 150_000.0, last_window=8, capped=("es",))
 
 
 def _walk_sql(step: str, out: str) -> str:

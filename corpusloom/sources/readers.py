@@ -33,7 +33,12 @@ def json_lines(spark: SparkSession, path: str, schema: str | StructType, strict:
 
 
 class HttpLines(DataSource):
-    """JSON lines over HTTP, cut into byte ranges that readers align to line ends: options url, stripes; columns at (byte of the line) and value."""
+    """JSON lines over HTTP, cut into byte ranges that readers align to line ends; columns at (byte of the line) and value.
+
+    Options: url, stripes, start (the byte after the last line that was read before) and size (what the file must have). A line
+    that ends before the file's size without a line end was cut off on its way: that is an error, so the task is tried again and
+    no line is skipped.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -47,31 +52,37 @@ class HttpLines(DataSource):
 
 
 class _Range(InputPartition):
-    def __init__(self, start: int, stop: int) -> None:
-        self.start, self.stop = start, stop
+    def __init__(self, start: int, stop: int, size: int, aligned: bool) -> None:
+        self.start, self.stop, self.size, self.aligned = start, stop, size, aligned
 
 
 class _HttpReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.url, self.stripes = options["url"], int(options.get("stripes", 4))
+        self.url, self.stripes, self.start = options["url"], int(options.get("stripes", 4)), int(options.get("start", 0))
+        self.pinned = int(options["size"]) if "size" in options else None
 
     def partitions(self) -> list[InputPartition]:
         with urllib.request.urlopen(urllib.request.Request(self.url, method="HEAD")) as r:
             size = int(r.headers["Content-Length"])
-        cuts = [size * i // self.stripes for i in range(self.stripes + 1)]
-        return [_Range(a, b) for a, b in zip(cuts, cuts[1:]) if a < b] or [_Range(0, 0)]
+        if self.pinned is not None and size != self.pinned:
+            raise ValueError(f"{self.url} has {size} bytes instead of {self.pinned}")
+        left = max(0, size - self.start)
+        cuts = [self.start + left * i // self.stripes for i in range(self.stripes + 1)]
+        return [_Range(a, b, size, a == self.start) for a, b in zip(cuts, cuts[1:]) if a < b] or [_Range(0, 0, size, True)]
 
     def read(self, part: _Range) -> Iterator[tuple[int, str]]:
         """Lines that start within the range; the line that the range begins in belongs to the one before."""
         if part.start >= part.stop:
             return
-        first = max(0, part.start - 1)
+        first = part.start if part.aligned else part.start - 1
         with urllib.request.urlopen(urllib.request.Request(self.url, headers={"Range": f"bytes={first}-"})) as r:
             at = first
-            if part.start:
+            if not part.aligned:
                 at += len(r.readline())
             while at < part.stop:
                 line = r.readline()
+                if not line.endswith(b"\n") and at + len(line) < part.size:
+                    raise OSError(f"{self.url} was cut off at byte {at + len(line)} of {part.size}")
                 if not line:
                     break
                 if line.strip():
@@ -79,9 +90,10 @@ class _HttpReader(DataSourceReader):
                 at += len(line)
 
 
-def http_lines(spark: SparkSession, url: str, stripes: int = 4) -> DataFrame:
+def http_lines(spark: SparkSession, url: str, stripes: int = 4, start: int = 0, size: int | None = None) -> DataFrame:
     spark.dataSource.register(HttpLines)
-    return spark.read.format("http_lines").option("url", url).option("stripes", str(stripes)).load()
+    reader = spark.read.format("http_lines").option("url", url).option("stripes", str(stripes)).option("start", str(start))
+    return (reader if size is None else reader.option("size", str(size))).load()
 
 
 def striped_order(rows: DataFrame, at: str, size: int, stripes: int) -> DataFrame:
@@ -126,3 +138,11 @@ def source_identity(files: Sequence[str], revision: str, skip_rows: int = 0) ->
     import hashlib
 
     return hashlib.sha256(json.dumps([list(files), revision, skip_rows]).encode()).hexdigest()
+
+
+def open_source(spark: SparkSession, kind: str, at: str, **options) -> DataFrame:
+    """The rows of a source by its kind: parquet, json_lines, http_lines or posts_xml, with that reader's options."""
+    readers = {"parquet": parquet_rows, "json_lines": json_lines, "http_lines": http_lines, "posts_xml": posts_xml}
+    if kind not in readers:
+        raise ValueError(f"no reader of kind {kind!r}; there are {', '.join(readers)}")
+    return readers[kind](spark, at, **options)

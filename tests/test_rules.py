@@ -23,6 +23,11 @@ def test_rendering(spark):
     assert one(spark, R.literal_as_json(F.col("m")), m="f(x)") == "{}"
 
 
+def test_html(spark):
+    html = "<p>One &amp; &#233;&#x4e00;  two<br>three</p>\n<pre>a  b\n\n\n  c</pre><p>last<script>x  = 1</script></p>"
+    assert one(spark, R.html_text(F.col("h")), h=html) == "One & é一 two\nthree\n\na  b\n\n  c\n\nlastx = 1"
+
+
 def test_held_out_ids(spark, tmp_path):
     spark.createDataFrame([(1,), (1,), (None,), (3,)], "id long").write.parquet(f"file://{tmp_path}/ids")
     ids = R.held_out_ids(spark, [f"file://{tmp_path}/ids"], "id")

@@ -3,6 +3,7 @@ import http.server
 import json
 import threading
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.sources import readers as R
@@ -33,6 +34,8 @@ def test_http_lines(spark):
     lines = [json.dumps({"i": i, "pad": "x" * (i % 37)}) for i in range(200)]
     data = ("\n".join(lines) + "\n").encode()
 
+    served = [None]
+
     class Handler(http.server.BaseHTTPRequestHandler):
         def do_HEAD(self):
             self.send_response(200)
@@ -43,7 +46,7 @@ def test_http_lines(spark):
             start = int(self.headers.get("Range", "bytes=0-")[6:].split("-")[0])
             self.send_response(206)
             self.end_headers()
-            self.wfile.write(data[start:])
+            self.wfile.write(data[start : served[0]])
 
         def log_message(self, *a):
             pass
@@ -55,6 +58,15 @@ def test_http_lines(spark):
         assert [r.value for r in rows.orderBy("at").collect()] == lines
         first = [r.value for r in R.striped_order(rows, "at", len(data), 4).orderBy("place").limit(4).collect()]
         assert first[0] == lines[0] and len(set(first)) == 4
+        url, seen = f"http://127.0.0.1:{server.server_port}/x", len("\n".join(lines[:80])) + 1
+        rest = R.open_source(spark, "http_lines", url, stripes=3, start=seen, size=len(data)).orderBy("at").collect()
+        assert [r.value for r in rest] == lines[80:] and rest[0]["at"] == seen
+        assert R.http_lines(spark, url, 3, len(data)).collect() == []
+        with pytest.raises(Exception, match="instead of"):
+            R.http_lines(spark, url, 3, size=len(data) + 1).collect()
+        served[0] = len(data) - 3  # the connection ends within the last line
+        with pytest.raises(Exception, match="cut off"):
+            R.http_lines(spark, url, 3).collect()
     finally:
         server.shutdown()
 
@@ -78,6 +90,13 @@ def test_file_lists_and_identity():
     assert R.source_identity(["a"], "r") != R.source_identity(["a"], "r", 1)
 
 
+def test_sources_by_kind(spark, tmp_path):
+    spark.range(3).write.parquet(f"file://{tmp_path}/p")
+    assert R.open_source(spark, "parquet", f"file://{tmp_path}/p", columns=["id"]).count() == 3
+    with pytest.raises(ValueError, match="no reader"):
+        R.open_source(spark, "tar", "x")
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([({"_x": "1", "url": "u"},)], "meta map<string,string>")
     assert df.select(W.provenance(F.col("meta"))).first()[0] == '{"url":"u"}'
