@@ -197,15 +197,60 @@ def special_share_cap(spark, sf):
 _WEIGHTS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
 
 
-@query()
+_FOUR = "[1, 2, 3, 4]"
+
+
+def _windows_sql(total: float, window: int, slack: float, closed: str, state: str, first: str) -> str:
+    """Offers window by window: a bucket takes offers while it is below its limit, so what a window takes follows from the state it
+    starts in (taken, base, gone and `state`, with `first` as its value). closed: a query that makes base2, gone2 and the new
+    state of what a window took (now, after was), where the window is a whole one (full_window)."""
+    w = "[" + ", ".join(map(str, _WEIGHTS.values())) + "]::DOUBLE[]"
+    names = "'" + "', '".join(_WEIGHTS) + "'"
+    took = f"[r.taken[i] + coalesce(list_sum([x.n FOR x IN g.rs IF x.l = i AND NOT r.gone[i] AND r.taken[i] + x.cb < r.base[i] * {1 + slack}]), 0) FOR i IN {_FOUR}]::BIGINT[]"
+    step = f"SELECT r.*, {w} AS w0, r.taken AS was, g.full_window, {took} AS now FROM r JOIN g ON g.win = r.win"
+    return f"""WITH RECURSIVE o AS (SELECT doc_id, lang AS bucket, list_position([{names}], lang) AS l, n, (row_number() OVER (ORDER BY doc_id) - 1) // {window} AS win FROM ({_DOCS})),
+c AS (SELECT *, sum(n) OVER (PARTITION BY win, l ORDER BY doc_id) - n AS cb FROM o),
+g AS (SELECT win, list({{'l': l, 'n': n, 'cb': cb}} ORDER BY doc_id) AS rs, count(*) = {window} AS full_window FROM c GROUP BY win),
+r(win, taken, base, gone, {state}) AS (SELECT 0::BIGINT, [0, 0, 0, 0]::BIGINT[], [x * {total} FOR x IN {w}]::DOUBLE[], [false, false, false, false], {first}
+  UNION ALL SELECT win + 1, now, base2, gone2, {state}2 FROM ({closed.replace('{STEP}', step)}))
+SELECT doc_id, bucket, coalesce(NOT r.gone[l] AND r.taken[l] + cb < r.base[l] * {1 + slack}, false) AS admitted FROM c JOIN r USING (win)"""
+
+
+def _refilled(total: float, step: str) -> str:
+    """Water-filling over the buckets, of which those that are gone get no more than they have: four rounds settle all."""
+    left = f"SELECT *, {total}::DOUBLE - coalesce(list_sum([now[j] FOR j IN {_FOUR} IF f[j]]), 0) AS rest, coalesce(list_sum([w0[j] FOR j IN {_FOUR} IF NOT f[j]]), 1) AS weight FROM"
+    rows = f"SELECT *, [false, false, false, false] AS f FROM ({step})"
+    for _ in range(4):
+        rows = f"SELECT * EXCLUDE (f, rest, weight), [f[k] OR (gone2[k] AND rest * w0[k] / weight > now[k]) FOR k IN {_FOUR}] AS f FROM ({left} ({rows}))"
+    return f"SELECT *, CASE WHEN ended THEN [CASE WHEN f[k] THEN now[k]::DOUBLE ELSE rest * w0[k] / weight END FOR k IN {_FOUR}] ELSE base END AS base2 FROM ({left} ({rows}))"
+
+
+_STALLED = f"SELECT *, CASE WHEN full_window THEN [CASE WHEN NOT gone[i] AND now[i] < base[i] AND now[i] - was[i] < 0.01 * w0[i] * 150000.0 THEN stalled[i] + 1 ELSE 0 END FOR i IN {_FOUR}] ELSE stalled END AS stalled2 FROM ({{STEP}})"
+_ENDED = f"SELECT *, [gone[i] OR stalled2[i] >= 2 FOR i IN {_FOUR}] AS gone2, len([i FOR i IN {_FOUR} IF stalled2[i] >= 2]) > 0 AND full_window AS ended FROM ({_STALLED})"
+
+
+@query(_windows_sql(150000.0, 100, 0.1, _refilled(150000.0, _ENDED), "stalled", "[0, 0, 0, 0]"))
 def quota_collect(spark, sf):
-    """Tested offer by offer against the rule (tests/test_mixing.py), which decides by windows of offers."""
+    """Decides by windows of offers; also tested offer by offer against the rule (tests/test_mixing.py)."""
     return M.collect_quota(_sized(spark, sf).withColumnRenamed("lang", "bucket"), _WEIGHTS, 150_000.0)
 
 
-@query()
+_SLOW = f"SELECT *, [coalesce(full_window AND NOT gone[i] AND base[i] > now[i] AND (now[i] - was[i] < 0.01 * w0[i] * 150000.0 OR (now[i] - was[i]) * (8 - (win + 1)) < base[i] - now[i]), false) FOR i IN {_FOUR}] AS slow, gone AS gone0, base AS base0 FROM ({{STEP}})"
+
+
+def _given_up(step: str) -> str:
+    """Slow buckets give up one after the other; what each leaves goes to those that have not, but not to the last one."""
+    rows = step
+    for b in (1, 2, 3, 4):
+        rows = f"SELECT * EXCLUDE (gone0, base0), base0 AS b_was, [gone0[i] OR (slow[i] AND i = {b}) FOR i IN {_FOUR}] AS gone0, base0[{b}] - now[{b}] AS rest FROM ({rows})"
+        rows = f"SELECT *, coalesce(list_sum([w0[j] FOR j IN [1, 2, 3] IF NOT gone0[j]]), 0) AS weight FROM ({rows})"
+        rows = f"SELECT * EXCLUDE (b_was, rest, weight), CASE WHEN slow[{b}] THEN [CASE WHEN i = {b} THEN now[i]::DOUBLE WHEN NOT gone0[i] AND i < 4 AND rest > 0 THEN b_was[i] + rest * w0[i] / weight ELSE b_was[i] END FOR i IN {_FOUR}] ELSE b_was END AS base0 FROM ({rows})"
+    return f"SELECT *, base0 AS base2, gone0 AS gone2, 0 AS unused2 FROM ({rows})"
+
+
+@query(_windows_sql(150000.0, 100, 0.0, _given_up(_SLOW), "unused", "0"))
 def quota_sample(spark, sf):
-    """The sampler that gives up buckets by their rate; one bucket takes nothing of what others leave. Tested as quota_collect is."""
+    """The sampler that gives up buckets by their rate; one bucket takes nothing of what others leave."""
     return M.sample_quota(_sized(spark, sf).withColumnRenamed("lang", "bucket"), _WEIGHTS, 150_000.0, last_window=8, capped=("es",))
 
 

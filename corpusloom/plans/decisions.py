@@ -145,7 +145,7 @@ def range_read(spark, sf):
     return d.withColumn("start", (F.col("cum") - F.col("n")).cast("long")).where("start < 12000 AND cum > 8000").select("source", "start", "doc_id")
 
 
-@query()
+@query("SELECT doc_id, 2 AS n, 'assert f(' || doc_id || ') == 1|assert f(3)[0] != ''x''' AS asserts FROM documents")
 def assert_extraction(spark, sf):
     reply = F.concat(F.lit("Tests:\n```python\nassert f("), F.col("doc_id").cast("string"), F.lit(") == 1\nassert f(2) == None\nassert f(3)[0] != 'x'\nassert g(1) == 2\nassert f(4) != 0\nassert f(3)[0] != 'x'\n```"))
     d = table(spark, sf, "documents").select("doc_id", R.asserts_of(reply, F.lit("f")).alias("a"))
@@ -163,6 +163,6 @@ def _tested(items):
     return R.run_tests(rows)
 
 
-@query()
+@query("SELECT doc_id, sha256(trim(regexp_replace(nfc_normalize(substr(text, 1, 2000)), '\\s+', ' ', 'g'))) AS digest FROM documents")
 def normalised_texts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(R.normalised_for_lid(F.col("text")), 256).alias("digest"))

@@ -73,3 +73,11 @@ def test_catalogue(spark):
 
 def test_cadence():
     assert [P.aligned_every(*x) for x in ((100, 30, 10), (97, 10, 40), (1000, 250, 40), (12, 3, 100))] == [25, 97, 250, 3]
+
+
+def test_normalised_for_language_id(spark):
+    from corpusloom.operators.records import normalised_for_lid
+
+    assert one(spark, normalised_for_lid(F.col("t")), t="ﬁne ² ½ 　ｗide\né") == "fine 2 1⁄2 wide é"
+    assert one(spark, normalised_for_lid(F.lit(None).cast("string"))) is None
+    assert len(one(spark, normalised_for_lid(F.col("t")), t="ab" * 1500)) == 2000
