@@ -35,7 +35,7 @@ h AS (SELECT DISTINCT conv_id FROM g, (SELECT trim(regexp_replace(text, '\\s+',
 e AS (SELECT g.*, CASE WHEN blank THEN 'empty' WHEN special THEN 'special_tokens' WHEN NOT fmt THEN 'format' WHEN conv_id IN (SELECT conv_id FROM h) THEN 'decontam' END AS early FROM g),
 f AS (SELECT *, min(CASE WHEN early IS NULL THEN conv_id END) OVER (PARTITION BY r) AS first_id FROM e),
 z AS (SELECT *, coalesce(early, CASE WHEN conv_id <> first_id THEN 'duplicate' END, CASE WHEN fitted IS NULL THEN 'too_long' END) AS reason, {_VAL} AS val FROM f),
-screened AS (SELECT conv_id, reason, CASE WHEN reason IS NULL THEN fitted END AS fitted, CASE WHEN reason IS NULL THEN tokens END AS tokens, CASE WHEN reason IS NULL THEN fitted < turns END AS truncated, CASE WHEN reason IS NULL THEN CASE WHEN val THEN 'val' ELSE 'train' END END AS split FROM z)
+screened AS (SELECT conv_id, reason, CASE WHEN reason IS NULL THEN fitted END AS fitted, CASE WHEN reason IS NULL THEN tokens::BIGINT END AS tokens, CASE WHEN reason IS NULL THEN fitted < turns END AS truncated, CASE WHEN reason IS NULL THEN CASE WHEN val THEN 'val' ELSE 'train' END END AS split FROM z)
 """
 
 

@@ -69,7 +69,7 @@ def offers_with_counts(spark, sf):
     return R.carried(_licensed(spark, sf).withColumn("reason", reason), "source", "doc_id", "reason", ["language", "license", "too_long"])
 
 
-@query("SELECT bucket, count(*) AS documents, round(sum(n_chars * part), 3) AS chars FROM (SELECT lang AS bucket, 1.0 AS part, n_chars FROM documents WHERE lang <> 'fr' UNION ALL SELECT unnest(['fra_a', 'fra_b']), 0.5, n_chars FROM documents WHERE lang = 'fr') GROUP BY 1")
+@query("SELECT bucket, count(*) AS documents, round(sum(n_chars * part)::DOUBLE, 3) AS chars FROM (SELECT lang AS bucket, 1.0 AS part, n_chars FROM documents WHERE lang <> 'fr' UNION ALL SELECT unnest(['fra_a', 'fra_b']), 0.5, n_chars FROM documents WHERE lang = 'fr') GROUP BY 1")
 def language_buckets(spark, sf):
     """One language is split in two buckets of half its weight."""
     d = R.script_buckets(table(spark, sf, "documents").select("lang", "n_chars"), "lang", "fr", ["fra_a", "fra_b"])

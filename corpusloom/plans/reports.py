@@ -143,7 +143,7 @@ def source_manifest(spark, sf):
     return rows.withColumn("epochs", F.lit(1.5))
 
 
-@query("WITH r AS (SELECT source, CASE WHEN n_chars < 300 THEN 'short' WHEN lang = 'es' THEN 'language' WHEN n_chars > 9000 THEN 'long' END AS reason FROM documents), t AS (SELECT source, count(*) AS before, count_if(reason IS NULL) AS after FROM r GROUP BY 1) SELECT 'reason' AS part, k AS name, coalesce(n, 0) AS before, NULL::BIGINT AS after FROM (SELECT unnest(['short', 'language', 'long', 'secret']) AS k) LEFT JOIN (SELECT reason AS k, count(*) AS n FROM r GROUP BY 1) USING (k) UNION ALL SELECT 'source', source, before, after FROM (SELECT *, row_number() OVER (ORDER BY before DESC, source) AS nth FROM t) WHERE nth <= 10")
+@query("WITH r AS (SELECT source, CASE WHEN n_chars < 300 THEN 'short' WHEN lang = 'es' THEN 'language' WHEN n_chars > 9000 THEN 'long' END AS reason FROM documents), t AS (SELECT source, count(*) AS before, count_if(reason IS NULL) AS after FROM r GROUP BY 1) SELECT 'reason' AS part, k AS name, coalesce(n, 0) AS before, NULL::BIGINT AS after FROM (SELECT unnest(['short', 'language', 'long', 'secret']) AS k) LEFT JOIN (SELECT reason AS k, count(*) AS n FROM r GROUP BY 1) USING (k) UNION ALL SELECT 'source', source, before, after::BIGINT FROM (SELECT *, row_number() OVER (ORDER BY before DESC, source) AS nth FROM t) WHERE nth <= 10")
 def build_report(spark, sf):
     """Drops by reason with those that had none, and the ten largest sources before and after."""
     reason = F.when(F.col("n_chars") < 300, "short").when(F.col("lang") == "es", "language").when(F.col("n_chars") > 9000, "long")
