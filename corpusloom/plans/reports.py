@@ -158,10 +158,13 @@ def build_report(spark, sf):
 @query("SELECT name, score, cited FROM (SELECT 'user' || user_id AS name, round(avg(value), 4)::VARCHAR AS score, false AS cited FROM events GROUP BY user_id UNION ALL SELECT n_name, 'not measured', true FROM nation)")
 def results_with_cited(spark, sf):
     """Measured rows and cited ones in one table; what was not measured says so."""
-    own = table(spark, sf, "events").groupBy("user_id").agg(F.round(F.avg("value"), 4).alias("s"))
+    # as the SQL rounds doubles and writes them: the scaled double is rounded, and small numbers have no exponent
+    own = table(spark, sf, "events").groupBy("user_id").agg((F.round(F.avg("value") * 10000) / 10000).alias("s"))
     rows = own.select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("name"), F.col("s"), F.lit(False).alias("cited"))
     cited = table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.lit(None).cast("double").alias("s"), F.lit(True).alias("cited"))
-    return rows.unionByName(cited).select("name", F.coalesce(F.col("s").cast("string"), F.lit("not measured")).alias("score"), "cited")
+    plain = F.regexp_replace(F.col("s").cast("decimal(30,4)").cast("string"), "0{1,3}$", "")
+    score = F.when(F.abs("s") < 1e15, plain).otherwise(F.col("s").cast("string"))
+    return rows.unionByName(cited).select("name", F.coalesce(score, F.lit("not measured")).alias("score"), "cited")
 
 
 @query("SELECT lang, coalesce(max(CASE WHEN q = 1 THEN n END)::VARCHAR, 'not measured') AS good, coalesce(max(CASE WHEN q = 0 THEN n END)::VARCHAR, 'not measured') AS poor, coalesce(max(CASE WHEN q IS NULL THEN n END)::VARCHAR, 'not measured') AS unknown FROM (SELECT lang, quality AS q, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2) GROUP BY lang")
