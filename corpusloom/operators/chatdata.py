@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import dedup as D
+from .staging import SENT_ROWS, staged
 
 #: Strings that mark turns and may not stand in a text.
 SPECIALS = ["<|system|>", "<|user|>", "<|assistant|>", "<|end|>", "<|endoftext|>"]
@@ -76,31 +80,85 @@ def screen(turns: DataFrame, bench: DataFrame, context: int, is_val: Column) ->
     )
 
 
+#: Buckets of shingles whose counts among the test replies order the shingles of all replies.
+BUCKETS = 1 << 16
+
+
+def _bucket_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """b, n: how many shingles of a task fall into each bucket."""
+    counts = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        hashes = np.asarray(batch.column(0).flatten()).view(np.uint64)
+        counts += np.bincount((hashes & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+    yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(counts)), pa.array(counts[counts > 0])], ["b", "n"])
+
+
+def _rarest_first(counts: np.ndarray, threshold: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """In place of the shingles s as many of the rarest as a pair at the threshold must share one of.
+
+    The order is any one order for all replies: the level of the bucket's count, then the hash (its upper 52 bits).
+    """
+    levels = np.minimum(np.log2(1.0 + counts) * 32, 2047).astype(np.uint64) << np.uint64(52)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = batch.column(batch.schema.get_field_index("s"))
+            at = np.asarray(s.offsets)
+            hashes = np.asarray(s.values).view(np.uint64)
+            keys = levels[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)] | hashes >> np.uint64(12)
+            runs = [np.sort(keys[i:j])[: j - i - math.ceil((j - i) * threshold - 1e-9) + 1] if j > i else keys[:0] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            ends = np.cumsum([0, *map(len, runs)]).astype(np.int32)
+            flat = np.concatenate([*runs, keys[:0]]).view(np.int64)
+            rare = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays([rare if n == "s" else batch.column(n) for n in names], names)
+
+    return run
+
+
+def _sets(replies: DataFrame, width: int) -> DataFrame:
+    """side, doc_id, path, n, k, k2 (two hashes of path and shingles), s of replies with a path."""
+    toks = replies.where("path IS NOT NULL").select("side", "doc_id", "path", T.tokens(F.coalesce("text", F.lit(""))).alias("toks"))
+    s = toks.select("side", "doc_id", "path", T.shingle_hashes(F.col("toks"), width).alias("s"))
+    return s.select("side", "doc_id", "path", F.size("s").alias("n"), F.xxhash64("path", "s").alias("k"), F.xxhash64(F.lit("again"), "s", "path").alias("k2"), "s")
+
+
 def split_guard(train: DataFrame, test: DataFrame, threshold: float = 0.9, width: int = 5) -> DataFrame:
     """doc_id, rule of the train replies(doc_id, path, text) that copy a test reply: whole (white space collapsed), or near for the same path.
 
-    Near-copies are found by an equi-join on rare shingles (see dedup.near_copies); copies of one reply are one row of it.
+    Near-copies are found by an equi-join on rare shingles (prefix filtering); copies of one reply are one row of it. Texts are
+    cut into shingles once, and of those only the rare ones are staged and shuffled; whole sets are made again for the
+    replies of candidate pairs, which are confirmed on them.
     """
     whole = train.select("doc_id", F.sha2(T.collapse(F.col("text")), 256).alias("key")).join(test.select(F.sha2(T.collapse(F.col("text")), 256).alias("key")).distinct(), "key", "left_semi")
     both = train.select(F.lit(0).alias("side"), "doc_id", "path", "text").unionByName(test.select(F.lit(1).alias("side"), "doc_id", "path", "text"))
-    sets = both.select("side", "doc_id", "path", T.tokens(F.col("text")).alias("toks"))
-    sets = sets.select("side", "doc_id", "path", T.shingle_hashes(F.col("toks"), width).alias("s"))
-    sets = sets.withColumn("key", F.sha2(F.array_join(F.col("s").cast("array<string>"), ","), 256))
-    classes = sets.groupBy("path", "key").agg(F.first("s").alias("s"), F.max("side").alias("tested"), F.min("side").alias("trained")).withColumn("n", F.size("s"))
-    same = classes.where("tested = 1").select("path", "key")
-    each = classes.where("n > 0").select("path", "key", "n", "tested", "trained", F.explode("s").alias("g"))
-    freq = each.groupBy("g").agg(F.count("*").alias("df"))
-    nth = F.row_number().over(Window.partitionBy("path", "key").orderBy("df", "g"))
-    rare = each.join(freq, "g").withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-    mine = rare.where("trained = 0").select("path", "g", "key", "n")
-    theirs = rare.where("tested = 1").select("path", "g", F.col("key").alias("other"), F.col("n").alias("m"))
-    pairs = mine.join(theirs, ["path", "g"]).where((F.col("key") != F.col("other")) & (F.least("n", "m") >= threshold * F.greatest("n", "m"))).select("path", "key", "other").distinct()
-    found = classes.select("path", "key", "s")
-    alike = pairs.join(found, ["path", "key"]).join(found.select("path", F.col("key").alias("other"), F.col("s").alias("t")), ["path", "other"])
-    near = alike.where(T.jaccard(F.col("s"), F.col("t")) >= threshold).select("path", "key").unionByName(same).distinct()
-    hits = sets.where("side = 0").join(near, ["path", "key"], "left_semi").select("doc_id").distinct()
-    rows = whole.select("doc_id", F.lit("whole").alias("rule")).unionByName(hits.select("doc_id", F.lit("near").alias("rule")))
-    return rows.groupBy("doc_id").agg(F.max("rule").alias("rule"))
+    sets = _sets(both, width)
+    counts = np.zeros(BUCKETS)
+    for r in _sets(both.where("side = 1"), width).select("s").mapInArrow(_bucket_counts, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
+        counts[r["b"]] = r["n"]
+    rows = staged(sets.mapInArrow(_rarest_first(counts, threshold), sets.schema), "guard-rare")
+    trained, tested = rows.where("side = 0"), rows.where("side = 1")
+    held = tested.select("k", "k2").distinct()
+
+    def entries(classes: DataFrame, key: str, n: str, rest: str) -> DataFrame:
+        one = classes.groupBy("k", "k2").agg(F.first("path").alias("path"), F.first("n").alias(n), F.first("s").alias("s"))
+        return one.select(F.col("k").alias(key), "path", n, (F.col(n) - F.size("s")).alias(rest), F.explode("s").alias("g")).select(key, n, rest, F.xxhash64("path", "g").alias("g"))
+
+    # what a pair shares is among the rare shingles of both, which are counted, or among the rest of the one whose rare ones end first
+    mine, theirs = entries(trained.join(held, ["k", "k2"], "left_anti"), "a", "n", "x"), entries(tested, "b", "m", "y")
+    met = mine.join(theirs, "g").where(F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9).groupBy("a", "b", "n", "m", "x", "y").agg(F.count("*").alias("c"))
+    able = F.col("c") + F.greatest("x", "y") >= threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-9
+    pairs = staged(met.where(able).select("a", "b").distinct(), "guard-pairs")
+    keys = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+    one = staged(rows.join(keys, "k", "left_semi").groupBy("k", "k2").agg(F.min("doc_id").alias("rep")), "guard-reps")
+    reps = one.select("rep").distinct()
+    reps = F.broadcast(reps) if one.count() <= SENT_ROWS else reps
+    full = _sets(both.join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi"), width).select("k", "k2", "path", "s")
+    found = pairs.join(full.withColumnRenamed("k", "a"), "a").join(full.select(F.col("k").alias("b"), "path", F.col("s").alias("t")), ["b", "path"])
+    near = found.where(T.jaccard(F.col("s"), F.col("t")) >= threshold).select(F.col("a").alias("k"), "k2").union(held).distinct()
+    hits = trained.join(near, ["k", "k2"], "left_semi").select("doc_id")
+    same = whole.select("doc_id", F.lit("whole").alias("rule")).unionByName(hits.select("doc_id", F.lit("near").alias("rule")))
+    return same.groupBy("doc_id").agg(F.max("rule").alias("rule"))
 
 
 def tree_order(paths: Column, first: str) -> Column:
