@@ -126,13 +126,15 @@ def step_examples(spark, sf):
 
     d = table(spark, sf, "documents")
     bench = D.substring_hits(d, table(spark, sf, "benchmark")).select("doc_id").distinct().withColumn("leaks", F.lit(True))
-    rows = d.join(bench, "doc_id", "left").join(_guarded(spark, sf), "doc_id", "left")
+    # what the texts decide is decided before the joins, which then hold no texts
+    short = d.select("doc_id", F.col("source").isin("src1", "src2").alias("held"), T.is_blank(F.col("text")).alias("blank"), (F.length("text") > 8000).alias("long"))
+    rows = short.join(bench, "doc_id", "left").join(_guarded(spark, sf), "doc_id", "left")
     reason = (
-        F.when(F.col("source").isin("src1", "src2"), "not_train_split")
-        .when(T.is_blank(F.col("text")), "no_reply")
+        F.when(F.col("held"), "not_train_split")
+        .when(F.col("blank"), "no_reply")
         .when(F.col("leaks"), "leakage_bench")
         .when(F.col("rule").isNotNull(), "leakage_test_split")
-        .when(F.length("text") > 8000, "reply_too_long")
+        .when(F.col("long"), "reply_too_long")
         .otherwise("kept")
     )
     return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("documents"))
