@@ -162,10 +162,10 @@ def largest_feasible(states: DataFrame, max_epochs: int) -> DataFrame:
 def numbered_parts(rows: DataFrame, order: list[str], size: int, val_every: int = 20) -> DataFrame:
     """n, part, split and row_id of rows in one order, dealt to parts of a fixed size.
 
-    The order is one whole; rows get their numbers from sorted ranges and prefix sums over the ranges, not in one task. The
-    sorted rows are staged: were they sorted again for the sums, adaptive execution could cut them into other ranges.
+    The order is one whole, nulls last as in SQL; rows get their numbers from sorted ranges and prefix sums over the ranges, not
+    in one task. The sorted rows are staged: were they sorted again for the sums, adaptive execution could cut them into other ranges.
     """
-    sorted_ = staged(rows.sort(*order).withColumn("_m", F.monotonically_increasing_id()), "numbered")
+    sorted_ = staged(rows.sort(*[F.col(c).asc_nulls_last() for c in order]).withColumn("_m", F.monotonically_increasing_id()), "numbered")
     held = sorted_.withColumn("_task", F.shiftright("_m", 33)).withColumn("_at", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
     counts = held.groupBy("_task").agg(F.count("*").alias("_k"))
     starts = counts.select("_task", (F.sum("_k").over(Window.orderBy("_task")) - F.col("_k")).alias("_start"))

@@ -98,8 +98,11 @@ _MASKED = "SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos, CASE ro
 def mask_problems(spark, sf):
     """Blocks of eight turns whose masks (assistant or not; system turns have none) cannot be trained on."""
     from ..operators.allocation import numbered_parts
+    from ..sources.readers import parquet_rows
 
-    rows = numbered_parts(table(spark, sf, "conversations").select("conv_id", "turn", "role"), ["conv_id", "turn"], 64)
+    # turns of equal keys stay in the order of the table
+    turns = parquet_rows(spark, f"{sf}/conversations.parquet", ["conv_id", "turn", "role"])
+    rows = numbered_parts(turns, ["conv_id", "turn", "file", "row"], 64)
     mask = F.when(F.col("role") == "assistant", 1).when(F.col("role") == "user", 0)
     return C.mask_problems(rows.select(F.col("n").alias("pos"), mask.alias("mask")), 8)
 
